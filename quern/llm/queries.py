@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.common import table
 from quern.llm.exact_dedup import exact_groups
+from quern.llm.minhash_dedup import near_components
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,3 +30,8 @@ def query(sql: str | None = None):
 )
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"), words=4)
