@@ -5,8 +5,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm.common import table
+from quern.llm.decontaminate import leaks
 from quern.llm.exact_dedup import exact_groups
+from quern.llm.license_scan import scan_licenses
 from quern.llm.minhash_dedup import near_components
+from quern.llm.url_filter import url_verdicts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -35,3 +38,34 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), words=4)
+
+
+#: Fixed values. The verdicts, hosts and paths of the URL rules, and the hosts of the method's own list.
+URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+BLOCKED_HOSTS = ["ads-track.example.com", "adult-x.example.net", "casino-win.example.com", "free-bets.example.com", "spam-farm.example.com"]
+
+
+@query(
+    r"""
+    WITH u AS (SELECT page_id, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    s AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM u),
+    p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM s),
+    r AS (SELECT * FROM (VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')) v(verdict, rhost, rpath)),
+    m AS (SELECT page_id, max({'n': length(rhost || rpath), 'verdict': verdict, 'rule': rhost || rpath}) AS best FROM p JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id),
+    b AS (SELECT * FROM (VALUES ('ads-track.example.com'), ('adult-x.example.net'), ('casino-win.example.com'), ('free-bets.example.com'), ('spam-farm.example.com')) v(bad))
+    SELECT p.page_id, host, path, best.rule AS rule, coalesce(best.verdict, CASE WHEN EXISTS (SELECT 1 FROM b WHERE host = bad OR ends_with(host, '.' || bad)) THEN 'block' ELSE 'allow' END) AS verdict
+    FROM p LEFT JOIN m ON p.page_id = m.page_id"""
+)
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocked = spark.createDataFrame([(h,) for h in BLOCKED_HOSTS], "key string")
+    return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, blocked).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query()
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
