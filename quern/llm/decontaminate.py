@@ -44,7 +44,11 @@ def _word_hashes(text: Column) -> Column:
 
 def with_simhash(df: DataFrame, shingles: str, out: str) -> DataFrame:
     """Adds the SimHash of an array of shingle hashes: bit b is set if more than half have it."""
-    lanes = {f"__l{j}": F.aggregate(shingles, F.lit(0).cast("long"), lambda a, h, j=j: a + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(LANES))) for j in range(16)}
+
+    def lane_counts(j: int) -> Column:
+        return F.aggregate(shingles, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(LANES)))
+
+    lanes = {f"__l{j}": lane_counts(j) for j in range(16)}
     df = df.withColumns(lanes)
     bits = F.lit(0).cast("long")
     for j in range(16):

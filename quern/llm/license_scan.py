@@ -102,8 +102,12 @@ def scan_licenses(docs: DataFrame, text_column: str = "text", id_column: str = "
         return out
 
     found = found.withColumn("sure", F.filter("agreed", verified))
-    places = [F.transform(F.filter("hits", lambda h, p=p: (h["w"] == p[0]) & _same(F.col("words"), h["i"], p)), lambda h, label=label: F.struct(h["i"].alias("i"), F.lit(label).alias("label"))) for p, label in base]
-    found = found.withColumn("base", F.concat(*places))
+
+    def places(phrase: list[str], label: str) -> Column:
+        there = F.filter("hits", lambda h: (h["w"] == phrase[0]) & _same(F.col("words"), h["i"], phrase))
+        return F.transform(there, lambda h: F.struct(h["i"].alias("i"), F.lit(label).alias("label")))
+
+    found = found.withColumn("base", F.concat(*[places(p, label) for p, label in base]))
     names = F.array(*[F.lit(label) for label, _, _ in split])
     base_labels = F.transform("base", lambda b: b["label"])
     n_base = F.size("base").cast("long")
