@@ -9,7 +9,9 @@ from quern.llm.decontaminate import leaks
 from quern.llm.exact_dedup import exact_groups
 from quern.llm.license_scan import scan_licenses
 from quern.llm.minhash_dedup import near_components
+from quern.llm.packing import pack
 from quern.llm.url_filter import url_verdicts
+from quern.llm.warc import derivatives, responses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -69,3 +71,13 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives(responses(table(spark, sf_dir, "pages")))
