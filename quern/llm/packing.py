@@ -2,8 +2,8 @@
 
 Documents of a task stay in their order, end to end, and are cut into windows of
 at most ``window`` tokens. Cuts may stand at document ends (free), sentence ends
-(SENTENCE_PENALTY) and, only inside a sentence longer than a window, between any
-tokens at whole windows (HARD_PENALTY). The cuts minimise padding plus penalties:
+(SENTENCE_PENALTY) and, inside a sentence of over LONG_SENTENCE tokens only, at
+every STEP tokens (HARD_PENALTY). The cuts minimise padding plus penalties:
 
     best[j] = penalty[j] + WINDOW_COST + min over i of best[i] + padding(j - i)
 
@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 1024
 BLOCK = 1 << 18
-SENTENCE_PENALTY, HARD_PENALTY, WINDOW_COST = 3, 24, 2
+SENTENCE_PENALTY, HARD_PENALTY, WINDOW_COST = 3, 12, 2
+LONG_SENTENCE, STEP = 96, 8
 END_OF_TEXT = "<|endoftext|>"
 _TWO_SPACES = re.compile(r"\s\s")
 
@@ -68,9 +69,10 @@ def choose_cuts(total: int, at: np.ndarray, penalty: np.ndarray, window: int = W
     """Window ends out of the candidates ``at`` (ascending, the last is ``total``)."""
     cuts, costs = [0], [0]
     for p, c in zip(at.tolist(), penalty.tolist(), strict=True):
-        while p - cuts[-1] > window:  # a sentence longer than a window
-            cuts.append(cuts[-1] + window)
-            costs.append(HARD_PENALTY)
+        if p - cuts[-1] > LONG_SENTENCE:
+            inside = range(cuts[-1] + STEP, p, STEP)
+            cuts += inside
+            costs += [HARD_PENALTY] * len(inside)
         cuts.append(p)
         costs.append(c)
     powers = [1 << k for k in range(6, window.bit_length() - 1)]
