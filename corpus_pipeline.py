@@ -1,25 +1,57 @@
 """The corpus pipeline: filtering, deduplication, decontamination and packing, stage by stage.
 
-Each stage reads all rows its predecessor kept, as Parquet. All but the last
-return the columns of ``documents``.
+Each stage works on all rows its predecessor kept, written as Parquet and reread.
+All but the last return the columns of ``documents``; the last returns the pieces
+of the packed sequences with their token ids.
 """
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
+from quern.llm.common import shared_folder, table
+from quern.llm.decontaminate import decontaminate
 from quern.llm.exact_dedup import exact_dedup
+from quern.llm.minhash_dedup import near_dedup
+from quern.llm.packing import pack
+from quern.llm.quality import keep_quality
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the classifier rejects."""
+    return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
-def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one row of each group of equal texts."""
     return exact_dedup(docs)
 
 
-STAGES = [("exact_dedup", drop_exact_copies)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each near-duplicate component."""
+    return near_dedup(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold a benchmark item's passage."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, with_ids=True)
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact_copies), ("near_dedup", near_copies), ("decontamination", decontamination), ("packing", packing)]
 
+#: No stage but exact deduplication can be told in SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """The rows of the last stage. Those between lie in the cluster's shared checkpoint folder."""
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -10,6 +10,9 @@ from quern.llm.exact_dedup import exact_groups
 from quern.llm.license_scan import scan_licenses
 from quern.llm.minhash_dedup import near_components
 from quern.llm.packing import pack
+from quern.llm.pii import find_pii
+from quern.llm.quality import score_quality
+from quern.llm.toxicity import score_toxicity
 from quern.llm.url_filter import url_verdicts
 from quern.llm.warc import derivatives, responses
 
@@ -81,3 +84,18 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derivatives(responses(table(spark, sf_dir, "pages")))
+
+
+@query()
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
