@@ -16,10 +16,11 @@ Scale:
 * In a bucket, members are compared with its smallest id, not with each other:
   first within each task, then between the tasks' local centres, so that a bucket
   of any size puts at most one row per task into the exchange.
-* Members that this leaves in other components than their bucket's centre are
-  compared with newly drawn centres, and at last with all members of the bucket
-  outside their component. So no link between components is lost, and a large
-  group that is connected is never expanded into pairs.
+* Members that this leaves in another component than their bucket's centre are
+  compared with all members of overlapping buckets, block against block, unless
+  too few of their shingles occur in any other open member. So no link between
+  components is lost, pairs never become rows, and a large connected group is
+  compared with its strays only.
 * Components come from label propagation in DataFrames; nothing is collected.
 """
 
@@ -27,6 +28,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +38,7 @@ from quern.llm.common import components, saved, text_of
 
 BANDS = 24
 BAND_PERMUTATIONS = 2
+BLOCK_ROWS = 128
 _RNG = np.random.Generator(np.random.PCG64(20240501))
 _A = _RNG.integers(1, 1 << 63, BANDS * BAND_PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * BAND_PERMUTATIONS, dtype=np.uint64)
@@ -159,13 +162,95 @@ class _Links:
         return saved(rows.mapInArrow(_verify(self.words, self.percent), "a long, b long, ok boolean"))
 
 
+    def shared_sizes(self, reps: DataFrame) -> DataFrame:
+        """(rep, u): how many of each representative's shingles another of ``reps`` has too."""
+        words = self.words
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for name, text in zip(batch.column(0), batch.column(1), strict=True):
+                    h = shingle_hashes(text.as_py(), words).view(np.int64)
+                    yield pa.RecordBatch.from_pydict({"rep": np.full(len(h), name.as_py(), np.int64), "h": h})
+
+        rows = self.texts.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(run, "rep long, h long").distinct()
+        return rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("h"))).filter("n > 1").groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
+
+    def across(self, members: DataFrame) -> DataFrame:
+        """Links (a, b) between members of different labels, where ``c`` ties members of a bucket.
+
+        Buckets that overlap are one family. A family's members of its commonest
+        label need no comparison with each other; the rest are compared with all,
+        block against block: a task gets two blocks of about BLOCK_ROWS texts and
+        counts all intersections by a product of their incidence matrices. No pair
+        is a row, and links that would close a cycle in a block are left out.
+        """
+        tied = components(members.filter("rep <> c").select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct())
+        rows = saved(members.select("rep", "label").distinct().join(tied, F.col("rep") == F.col("node")).select("rep", "label", F.col("component").alias("family")))
+        sizes = saved(rows.groupBy("family", "label").agg(F.count(F.lit(1)).alias("m")))
+        families = sizes.groupBy("family").agg(F.max_by("label", F.struct("m", -F.col("label"))).alias("main"), F.max("m").alias("m"), F.sum("m").alias("all"))
+        blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+        families = saved(families.select("family", "main", blocks(F.col("m")).alias("bm"), blocks(F.col("all") - F.col("m")).alias("bs")).filter("bs > 0"))
+        rows = rows.join(families, "family")
+        stray = F.col("label") != F.col("main")
+        own = F.when(stray, F.pmod(F.xxhash64("rep"), F.col("bs"))).otherwise(-1 - F.pmod(F.xxhash64("rep"), F.col("bm"))).cast("int")  # main blocks are negative
+        rows = rows.select("family", "rep", "label", "bm", "bs", own.alias("own"))
+        met = F.when(F.col("own") >= 0, F.sequence(-F.col("bm"), F.col("bs") - 1)).otherwise(F.sequence(F.lit(0), F.col("bs") - 1))
+        rows = saved(rows.select("family", "rep", "label", "own", F.explode(met).alias("other")).select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "label", "own"))
+        used = saved(rows.select(F.col("rep").alias("id")).distinct())
+        texts = saved(self.texts.join(used, "id", "left_semi"))
+        dealt = rows.join(texts, F.col("rep") == F.col("id")).select("family", "i", "j", "rep", "label", "own", "text")
+        return saved(dealt.groupBy("family", "i", "j").applyInPandas(_block_links(self.words, self.percent), "a long, b long").distinct())
+
+
+def _block_links(words: int, percent: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates(["rep", "text"]).sort_values("rep", ignore_index=True)
+        sets = [shingle_hashes(t, words) for t in pdf["text"]]
+        n = np.array([len(h) for h in sets])
+        ids = np.repeat(np.arange(len(sets)), n)
+        _, column, count = np.unique(np.concatenate([*sets, np.empty(0, np.uint64)]), return_inverse=True, return_counts=True)
+        common = np.cumsum(count > 1) - 1
+        keep = count[column] > 1
+        ids, column = ids[keep], common[column[keep]]
+        order = np.argsort(column, kind="stable")
+        ids, column = ids[order], column[order]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for k in range(0, int(common[-1]) + 1 if len(common) else 0, 4096):
+            lo, hi = np.searchsorted(column, [k, k + 4096])
+            x = np.zeros((len(sets), 4096), np.float32)
+            x[ids[lo:hi], column[lo:hi] - k] = 1
+            both += x @ x.T
+        both = np.rint(both).astype(np.int64)
+        label, own = pdf["label"].to_numpy(), pdf["own"].to_numpy()
+        linked = (100 * both >= percent * (n[:, None] + n[None, :] - both)) & (both > 0) & (label[:, None] < label[None, :])
+        if pdf["i"].iat[0] != pdf["j"].iat[0]:
+            linked &= own[:, None] != own[None, :]
+        root = {v: v for v in label}
+
+        def find(v):
+            while root[v] != v:
+                root[v] = root[root[v]]
+                v = root[v]
+            return v
+
+        out = []
+        for x, y in zip(*np.nonzero(linked), strict=True):
+            u, v = find(label[x]), find(label[y])
+            if u != v:
+                root[v] = u
+                out.append((pdf["rep"].iat[x], pdf["rep"].iat[y]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return run
+
+
 def _labelled(df: DataFrame, column: str, labels: DataFrame, out: str) -> DataFrame:
     """``df`` with the component of ``column``: itself unless ``labels`` has it."""
     found = labels.select(F.col("node").alias(column), F.col("component").alias("__c"))
     return df.join(found, column, "left").withColumn(out, F.coalesce("__c", column)).drop("__c")
 
 
-def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", star_rounds: int = 2) -> DataFrame:
+def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row.
 
     Documents are linked when 100 * |A and B| >= percent * |A or B|; a component
@@ -192,29 +277,18 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
     left = saved(_labelled(_labelled(open_pairs, "a", labels, "ca"), "b", labels, "cb").filter("ca <> cb").select("a", "b"))
     if not left.isEmpty():
         bands = edges.join(left, ["a", "b"], "left_semi").select("band").distinct()
-        members = saved(reps.select("rep", "n", F.explode("bands").alias("band")).join(saved(bands), "band", "left_semi"))
-        small = members.groupBy("band").agg(F.count(F.lit(1)).alias("m"))
-        members = saved(members.join(saved(small.filter("m > 2")), "band").drop("m"))  # the star of two was their only pair
-        for k in range(star_rounds + 1):
-            now = saved(_labelled(members, "rep", labels, "label"))
-            several = saved(now.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l <> h").select("band"))
-            now = saved(now.join(several, "band"))
-            if now.isEmpty():
-                break
-            if k < star_rounds:  # new centres
-                drawn = now.groupBy("band").agg(F.min_by(F.struct("rep", "label", "n"), F.xxhash64("rep", F.lit(k))).alias("c")).select("band", "c.*")
-            else:  # every pair across components
-                drawn = now
-            drawn = saved(drawn.select("band", F.col("rep").alias("c"), F.col("label").alias("c_label"), F.col("n").alias("c_n")))
-            apart = (F.col("c_label") != F.col("label")) & (F.least("n", "c_n") * 100 >= F.greatest("n", "c_n") * percent)
-            if k == star_rounds:
-                apart &= F.col("c") < F.col("rep")
-            more = now.join(drawn, "band").filter(apart).select(F.least("c", "rep").alias("a"), F.greatest("c", "rep").alias("b")).distinct()
-            more = saved(more.join(tried, ["a", "b"], "left_anti"))
-            if more.isEmpty():
-                continue
-            tried = saved(tried.unionByName(links.compare(more)))
-            labels = components(tried.filter("ok"))
+        members = reps.select("rep", "n", F.explode("bands").alias("band")).join(saved(bands), "band", "left_semi")
+        sizes = saved(members.groupBy("band").agg(F.count(F.lit(1)).alias("m")).filter("m > 2"))  # the star of two was their only pair
+        members = saved(members.join(sizes, "band").drop("m"))
+        # Shingles that no other open member has can't be common to a linked pair: whoever
+        # has too many of them is out, and others only meet where the rest may be enough.
+        shared = saved(links.shared_sizes(saved(members.select("rep").distinct())))
+        members = saved(members.join(shared, "rep").filter(F.col("u") * 100 >= F.col("n") * percent))
+        now = saved(_labelled(members, "rep", labels, "label"))
+        several = saved(now.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min("rep").alias("c")).filter("l <> h").select("band", "c"))
+        now = saved(now.join(several, "band"))
+        if not now.isEmpty():
+            labels = components(tried.filter("ok").select("a", "b").unionAll(links.across(now.select("rep", "label", "c"))))
 
     named = saved(_labelled(reps.select("s1", "s2", F.col("rep")), "rep", labels, "component_id").select("s1", "s2", "component_id"))
     out = prints.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
