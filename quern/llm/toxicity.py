@@ -107,7 +107,7 @@ class ToxicityModel:
         """``share``: of label 1 among all labelled rows; the sample may have another."""
         self.stems = Stems(texts, labels)
         halves = [Stems(texts[k::2], labels[k::2]) for k in (0, 1)]
-        x = np.array([features(t, halves[1 - i % 2]) for i, t in enumerate(texts)], float).reshape(len(texts), -1)
+        x = np.array([features(t, halves[1 - i % 2]) for i, t in enumerate(texts)], float) if texts else np.empty((0, 1))
         y = np.array(labels, float)
         check = np.arange(len(y)) % 5 == 4
         self.trees = BoostedTrees().fit(x[~check], y[~check])
