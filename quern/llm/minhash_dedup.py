@@ -39,6 +39,7 @@ from quern.llm.common import components, saved, text_of
 BANDS = 24
 BAND_PERMUTATIONS = 2
 BLOCK_ROWS = 128
+BLOCK_SHINGLES = 1 << 20
 _RNG = np.random.Generator(np.random.PCG64(20240501))
 _A = _RNG.integers(1, 1 << 63, BANDS * BAND_PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * BAND_PERMUTATIONS, dtype=np.uint64)
@@ -180,15 +181,17 @@ class _Links:
 
         Buckets that overlap are one family. A family's members of its commonest
         label need no comparison with each other; the rest are compared with all,
-        block against block: a task gets two blocks of about BLOCK_ROWS texts and
-        counts all intersections by a product of their incidence matrices. No pair
-        is a row, and links that would close a cycle in a block are left out.
+        block against block: a task gets two blocks of about BLOCK_ROWS texts
+        (fewer, if they have over BLOCK_SHINGLES shingles together) and counts all
+        intersections by a product of their incidence matrices. No pair is a row, and
+        links that would close a cycle in a block are left out.
         """
         tied = components(members.filter("rep <> c").select(F.col("rep").alias("a"), F.col("c").alias("b")).distinct())
-        rows = saved(members.select("rep", "label").distinct().join(tied, F.col("rep") == F.col("node")).select("rep", "label", F.col("component").alias("family")))
-        sizes = saved(rows.groupBy("family", "label").agg(F.count(F.lit(1)).alias("m")))
+        rows = saved(members.select("rep", "label", "n").distinct().join(tied, F.col("rep") == F.col("node")).select("rep", "label", "n", F.col("component").alias("family")))
+        size = F.greatest(F.count(F.lit(1)) / BLOCK_ROWS, F.sum("n") / BLOCK_SHINGLES)  # in blocks
+        sizes = saved(rows.groupBy("family", "label").agg(size.alias("m")))
         families = sizes.groupBy("family").agg(F.max_by("label", F.struct("m", -F.col("label"))).alias("main"), F.max("m").alias("m"), F.sum("m").alias("all"))
-        blocks = lambda n: F.ceil(n / BLOCK_ROWS).cast("int")
+        blocks = lambda n: F.ceil(n - 1e-9).cast("int")  # noqa: E731  sums of shares may be off by a rounding
         families = saved(families.select("family", "main", blocks(F.col("m")).alias("bm"), blocks(F.col("all") - F.col("m")).alias("bs")).filter("bs > 0"))
         rows = rows.join(families, "family")
         stray = F.col("label") != F.col("main")
@@ -288,7 +291,7 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
         several = saved(now.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min("rep").alias("c")).filter("l <> h").select("band", "c"))
         now = saved(now.join(several, "band"))
         if not now.isEmpty():
-            labels = components(tried.filter("ok").select("a", "b").unionAll(links.across(now.select("rep", "label", "c"))))
+            labels = components(tried.filter("ok").select("a", "b").unionAll(links.across(now.select("rep", "label", "n", "c"))))
 
     named = saved(_labelled(reps.select("s1", "s2", F.col("rep")), "rep", labels, "component_id").select("s1", "s2", "component_id"))
     out = prints.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")

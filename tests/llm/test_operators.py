@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quern.llm import pii, queries, warc
+from quern.llm import minhash_dedup, pii, queries, warc
 from quern.llm.common import components
 from quern.llm.decontaminate import decontaminate, leaks
 from quern.llm.exact_dedup import exact_dedup, exact_groups
@@ -100,8 +100,10 @@ def test_near_components_against_brute_force(spark):
     assert got == brute_components([(r.doc_id, r.text) for r in docs.collect()], 4)
 
 
-def test_near_components_of_a_large_unlinked_family(spark):
-    """Copies of one text with edits: most pairs lie just under or over the limit."""
+@pytest.mark.parametrize("block_shingles", [minhash_dedup.BLOCK_SHINGLES, 1500])
+def test_near_components_of_a_large_unlinked_family(spark, monkeypatch, block_shingles):
+    """Copies of one text with edits: most pairs lie just under or over the limit; blocks by rows and by shingles."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK_SHINGLES", block_shingles)
     rng = np.random.default_rng(3)
     base = [f"b{i}" for i in range(150)]
     rows = []
