@@ -1,13 +1,15 @@
 """Benchmark decontamination by SimHash over item-sized windows, in DataFrame operations alone.
 
-A window is as many words of a document as a benchmark item has. Its fingerprint
-is a 64-bit SimHash of its word shingles, each counted as often as it occurs. Two
+A window is as many words of a document as a benchmark item has, or all words of
+a document that has fewer. Its fingerprint is a 64-bit SimHash of its word shingles, each counted as often as it occurs. Two
 fingerprints within RADIUS bits agree in at least one of RADIUS + 1 blocks, so a
 join on (length, block, bits) finds all items within the radius; candidates then
 need an exact weighted Jaccard similarity of shingles of at least ``percent``.
 At that similarity the expected distance is 9.7 of 64 bits (deviation 2.9), so a
 radius of 19 loses about one window in a thousand of those right at the limit,
-and none of verbatim copies.
+and none of verbatim copies. A document shorter than the item, with 4 shingles of
+5, would differ by 12 bits, so for those SHORT_RADIUS holds; up to it the blocks
+agree but for a few in a thousand.
 
 Only windows that hold a shingle of the benchmark are fingerprinted, at the
 offsets that this shingle proposes: a window without any has similarity 0. That
@@ -22,6 +24,7 @@ from pyspark.sql import functions as F
 from quern.llm.common import saved, text_of
 
 RADIUS = 19
+SHORT_RADIUS = 23  # of documents shorter than the item
 BLOCKS = RADIUS + 1
 SEPARATOR = r"[^\p{L}\p{N}]+"
 LANES = 0x0001000100010001  # every 16th bit: four 16-bit counters in a long
@@ -65,7 +68,8 @@ def _blocks(fingerprint: str) -> Column:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, words: int = 5, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
     """(doc_id, text_hash, item_id, start_word, n_words, similarity): for each document
-    and item, the best window with the item's passage.
+    and item, the best window with the item's passage. n_words is the window's: the
+    item's, or the document's if that has fewer.
 
     Words are runs of letters and digits, lower-cased. An item of fewer words than
     ``words`` is one shingle; one without words (null, empty) matches nothing, nor
@@ -93,7 +97,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, words: int =
     for k in sizes:
         spots = hashed.select("doc_id", "text_hash", F.size("hs").alias("size"), F.posexplode(_shingles(F.col("hs"), k)).alias("p", "h"))
         near = spots.join(offers.filter(F.col("k") == k), "h").select("doc_id", "text_hash", "size", "k", "n_words", F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.col("size") - F.col("n_words"))).alias("start"))
-        near = near.filter(F.col("size") >= F.col("n_words")).drop("size")
+        # A shorter document is one window, whole; its similarity is at most its share of the item's shingles.
+        near = near.filter(100 * (F.col("size") - k + 1) >= percent * (F.col("n_words") - k + 1)).drop("size")
         windows = near if windows is None else windows.unionAll(near)
     if windows is None:
         windows = texts.select("doc_id", "text_hash", F.lit(1).alias("k"), F.lit(1).alias("n_words"), F.lit(0).alias("start")).limit(0)
@@ -111,9 +116,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, words: int =
     full = saved(full)
 
     # Multi-index Hamming join, then the exact similarity.
-    ours = full.select("doc_id", "text_hash", "start", "n_words", "sh", "print", _blocks("print").alias("b")).select("*", "b.*").drop("b")
+    k = F.least(F.lit(words), F.col("n_words"))
+    radius = F.when(F.size("sh") < F.col("n_words") - k + 1, SHORT_RADIUS).otherwise(RADIUS)
+    ours = full.select("doc_id", "text_hash", "start", "n_words", radius.alias("radius"), "print", _blocks("print").alias("b")).select("*", "b.*").drop("b")
     theirs = with_simhash(items, "sh", "item_print").select("item_id", "n_words", "item_print", _blocks("item_print").alias("b")).select("item_id", "n_words", "item_print", "b.*")
-    met = ours.drop("sh").join(F.broadcast(theirs) if small else theirs, ["n_words", "block", "bits"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+    met = ours.join(F.broadcast(theirs) if small else theirs, ["n_words", "block", "bits"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= F.col("radius"))
     met = saved(met.select("doc_id", "text_hash", "start", "n_words", "item_id").distinct())
     own = full.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("start").alias("s"), F.col("n_words").alias("n"), "sh")
     pairs = met.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("start") == F.col("s")) & (F.col("n_words") == F.col("n"))).drop("d", "t", "s", "n")
@@ -121,7 +128,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, words: int =
     counted = pairs.select(*ident, F.size("sh").alias("m"), F.explode("sh").alias("h")).groupBy(*ident, "m", "h").agg(F.count(F.lit(1)).alias("c"))
     wanted = grams.groupBy(F.col("item_id").alias("i"), F.col("h").alias("ih")).agg(F.count(F.lit(1)).alias("ic"))
     shared = counted.join(F.broadcast(wanted) if small else wanted, (F.col("item_id") == F.col("i")) & (F.col("h") == F.col("ih"))).groupBy(*ident, "m").agg(F.sum(F.least("c", "ic")).alias("both"))
-    sure = shared.filter(100 * F.col("both") >= percent * (2 * F.col("m") - F.col("both"))).withColumn("similarity", F.col("both") / (2 * F.col("m") - F.col("both")))
+    shared = shared.withColumn("either", F.col("m") + F.col("n_words") - k + 1 - F.col("both")).withColumn("n_words", F.col("m") + k - 1)
+    sure = shared.filter(100 * F.col("both") >= percent * F.col("either")).withColumn("similarity", F.col("both") / F.col("either"))
     best = sure.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words")).alias("b"))
     return best.select("doc_id", "text_hash", "item_id", (-F.col("b.s")).cast("long").alias("start_word"), F.col("b.n_words").cast("long").alias("n_words"), F.col("b.similarity").alias("similarity"))
 

@@ -262,6 +262,20 @@ def test_leaks(spark):
     assert leaks(df.limit(0), bench).count() == 0 and leaks(df, bench.limit(0)).count() == 0
 
 
+def test_leaks_in_documents_shorter_than_the_item(spark):
+    """Trimmed items as whole documents, against brute force; 21 of 26 shingles are just enough, 20 are not."""
+    w = [f"q{i}" for i in range(30)]
+    bench = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    texts = [w[:28], w[2:], w[1:-1], w[:25], w[:24], w[:15] + w[16:], ["x", *w[:26]], ["x", "y", *w[:24]], w[:4]]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    grams = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    want = {(i, 0, len(t), len(grams(t) & grams(w)) / len(grams(t) | grams(w))) for i, t in enumerate(texts)}
+    want = {x for x in want if x[3] >= 0.8}
+    assert {x[0] for x in want} == {0, 1, 2, 3, 6}
+    assert {(r.doc_id, r.start_word, r.n_words, r.similarity) for r in leaks(df, bench).collect()} == want
+    assert sorted(r.doc_id for r in decontaminate(df, bench).collect()) == [4, 5, 7, 8]
+
+
 def test_licenses_against_brute_force(spark):
     phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
     rows = [(900 + i, t) for i, t in enumerate(["CC  by cc-BY", "All rights reserved all RIGHTS reserved.", "x Released under the MIT License, y", "general public", None, "", "cc byé", "the mit of license"])]
