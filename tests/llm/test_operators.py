@@ -276,6 +276,14 @@ def test_leaks_in_documents_shorter_than_the_item(spark):
     assert sorted(r.doc_id for r in decontaminate(df, bench).collect()) == [4, 5, 7, 8]
 
 
+def test_leaks_with_repeated_shingles(spark):
+    """One shingle, repeated, makes up most of what differs; weighted similarity 112 of 140, just enough."""
+    common = {i: " ".join(f"q{i}x{j}" for j in range(116)) for i in range(20)}
+    bench = spark.createDataFrame([(i, t + f" r{i}" * 14) for i, t in common.items()], "item_id long, text string")
+    docs = spark.createDataFrame([(i, t + f" s{i}" * 14) for i, t in common.items()], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id, r.similarity) for r in leaks(docs, bench).collect()} == {(i, i, 0.8) for i in common}
+
+
 def test_licenses_against_brute_force(spark):
     phrases = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
     rows = [(900 + i, t) for i, t in enumerate(["CC  by cc-BY", "All rights reserved all RIGHTS reserved.", "x Released under the MIT License, y", "general public", None, "", "cc byé", "the mit of license"])]
