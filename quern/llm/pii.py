@@ -86,6 +86,7 @@ def base_spans(text: str) -> list[Span]:
 #: Fixed values. The generators of further candidates.
 GENERATORS = [
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?[\[({]? ?(?:at|AT|@) ?[\])}]? ?[A-Za-z0-9-]{1,63}(?: ?[\[({]? ?(?:dot|DOT|\.) ?[\])}]? ?[A-Za-z0-9-]{1,63}){1,4}(?![A-Za-z0-9])")),
+    ("ip", re.compile(r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?|::[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})(?![0-9A-Za-z:])")),
     ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,7}(?![0-9A-Fa-f:])")),
     ("ip", re.compile(r"(?<![0-9.])[0-9]{1,3}(?: ?\[?\.\]? ?[0-9]{1,3}){3}(?![0-9.])")),
     ("card", re.compile(r"(?<![0-9])[0-9]{4}(?:[ ._/-]{1,3}[0-9]{3,6}){2,4}(?![0-9])")),
@@ -145,6 +146,13 @@ def _synthetic(seed: int = 11, n: int = 6000) -> tuple[np.ndarray, np.ndarray, n
         body = r.choice("3456") + num(14)
         return next(body + str(c) for c in range(10) if luhn(body + str(c)))
 
+    def compressed() -> str:
+        sides = [":".join("%x" % r.randrange(1, 16 ** r.randint(1, 4)) for _ in range(r.randint(0, 3))) for _ in range(2)]
+        return "::".join(sides) if any(sides) else "::1"
+
+    def name() -> str:
+        return "".join(r.choice("abcdef") for _ in range(r.randint(1, 4)))
+
     def make(kind: str, good: bool) -> tuple[str, str]:
         if kind == "email":
             if good:
@@ -153,9 +161,10 @@ def _synthetic(seed: int = 11, n: int = 6000) -> tuple[np.ndarray, np.ndarray, n
             return f"{word()} at {word()}. {word().title()}", r.choice(["", "they", "was", "look"])
         if kind == "ip":
             if good:
-                text = ":".join("%x" % r.randrange(1, 65536) for _ in range(8)) if r.random() < 0.6 else "[.]".join(str(r.randrange(256)) for _ in range(4))
+                u = r.random()
+                text = ":".join("%x" % r.randrange(1, 65536) for _ in range(8)) if u < 0.4 else compressed() if u < 0.7 else "[.]".join(str(r.randrange(256)) for _ in range(4))
                 return text, r.choice(["ip", "host", "server", "", "from"])
-            return r.choice([":".join(num(2) for _ in range(3)), f"{num(1)} . {num(1)} . {num(2)} . {num(3)}", ":".join(num(2) for _ in range(4))]), r.choice(["time", "at", "version", "section", ""])
+            return r.choice([f"{name()}::{name()}", f"::{name()}", ":".join(num(2) for _ in range(3)), f"{num(1)} . {num(1)} . {num(2)} . {num(3)}", ":".join(num(2) for _ in range(4))]), r.choice(["time", "at", "version", "section", ""])
         if kind == "card":
             if good:
                 c = card()

@@ -191,6 +191,14 @@ def test_model_adds_written_out_addresses(spark):
     assert pii.redact("they met at noon. Then version 1:20:33 of order 1234") == "they met at noon. Then version 1:20:33 of order 1234"
 
 
+def test_compressed_addresses():
+    for a in ("fe80::1", "::1", "2001:db8::", "2001:db8::8a2e:370:7334", "::ffff:c0a8:101", "fe80::1ff:fe23:4567:890a"):
+        assert ("ip", 5, 5 + len(a)) in pii.candidates(f"host {a} up", [])
+        assert pii.redact(f"login from host {a} at noon") == "login from host [ip] at noon"
+    for a in ("std::add", "a::beef", "x ::before", "a :: b"):
+        assert pii.redact(f"call {a} here") == f"call {a} here"
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer as Reference
 
