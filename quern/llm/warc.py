@@ -32,7 +32,8 @@ DATE = "2024-01-01T00:00:00Z"
 HIDDEN = ("script", "style", "noscript", "template", "iframe", "svg")
 BREAKS = "address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table td th title tr ul".split()
 _TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?])")
-_REST = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
+# Attributes as HTML tokenizers take them: a quote opens a value only right after =, and only if it is closed.
+_REST = re.compile(r"""(?:[ \t\n\f\r/]++|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^ \t\n\f\r>]++)?+)?+)*+>""")
 _CLOSE = {t: re.compile(f"</{t}", re.IGNORECASE) for t in HIDDEN}
 _HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _LANG = re.compile(r"""\blang\s*=\s*["']?([A-Za-z-]+)""", re.IGNORECASE)
@@ -114,7 +115,7 @@ def html_text(page: str) -> tuple[str, str, str, list[str]]:
         if whole:
             at = whole.end()
         else:
-            quotes = False  # an open quote: from here on the next > ends a tag
+            quotes = False  # no > outside of values up to the page's end: from here on the next > ends a tag
             end = page.find(">", m.end())
             at = end + 1 if end >= 0 else len(page)
         tag = (m[2] or "").lower()

@@ -328,6 +328,15 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.derivatives(warc.responses(pages.limit(0))).count() == 0
 
 
+def test_stray_quotes_in_tags():
+    text = lambda page: warc.html_text(page)[0]
+    assert text("<p class=foo'>It is Bob's dog.</p><p>end") == "It is Bob's dog.\nend"
+    assert text("<p \"x>one</p><p title='a>b'>two</p>") == "one\ntwo"
+    assert text("<p id=\"x>one</p><p title='a>b'>two</p>") == "one\ntwo"
+    assert text("<p title = 'a>b' id=c\"d>one <i lang=\"x>y\"/>two") == "one two"
+    assert warc.html_text("<a class=k' href='/d>e'>link</a> it's") == ("link it's", "", "", ["/d>e"])
+
+
 def test_pipeline_stages(spark, tmp_path):
     """Each stage on what the one before it kept, against the plain version of its decision."""
     docs = documents(spark)
