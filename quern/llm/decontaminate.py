@@ -1,34 +1,47 @@
 """Benchmark decontamination by SimHash over item-sized windows, in DataFrame operations alone.
 
 A window is as many words of a document as a benchmark item has, or all words of
-a document that has fewer. Its fingerprint is a 64-bit SimHash of its word
-shingles; repeats are told apart by their number, as one repeated shingle would
-else weigh on every bit with the same sign. Two fingerprints within RADIUS bits agree in at least one of RADIUS + 1 blocks, so a
-join on (length, block, bits) finds all items within the radius; candidates then
-need an exact weighted Jaccard similarity of shingles of at least ``percent``.
-At that similarity the expected distance is 9.7 of 64 bits (deviation 2.9), so a
-radius of 19 loses about one window in a thousand of those right at the limit,
-and none of verbatim copies. A document shorter than the item, with 4 shingles of
-5, would differ by 12 bits, so for those SHORT_RADIUS holds; up to it the blocks
-agree but for a few in a thousand.
-
-Only windows that hold a shingle of the benchmark are fingerprinted, at the
-offsets that this shingle proposes: a window without any has similarity 0. That
-keeps the corpus-sized step to one hash lookup per word. Nothing that grows with
-the corpus is collected or broadcast: the benchmark's shingles are broadcast up
-to ``broadcast_rows`` and joined by a shuffle beyond it.
+a document that has fewer. A window leaks an item if the weighted Jaccard
+similarity of their word shingles (repeats count) is at least ``percent``.
+
+1. Which windows can leak at all. A window of w shingles that is similar to an
+   item of m shares at least s * (w + m) / (1 + s) of them, so as many of its
+   places must hold a shingle of some item of that length. One pass over the
+   texts looks every shingle up; the places of a text where one stands give
+   *all* window starts that reach the bound, as intervals. No window at the
+   required similarity is lost here, wherever its shared shingles stand.
+2. Those windows, once for each distinct content, get a 64-bit SimHash. Repeats
+   of a shingle are told apart by their number, as one repeated shingle would
+   else weigh on every bit with the same sign.
+3. Multi-index Hamming join. The fingerprint is cut into BLOCKS; two fingerprints
+   within RADIUS bits differ by at most that block's share of the radius in at
+   least one block. All block values within this share are listed for the items,
+   so an equality join on (length, block, bits) finds every item within RADIUS.
+4. Those within RADIUS are verified by their exact similarity.
+
+At a similarity of 0.8 the expected distance is 9.7 of 64 bits, deviation 2.9. In
+simulations (40,000 pairs right at the limit for each of 16 lengths) a radius of 20
+lost 0 to 3 in 10,000 of them, and 5 in 1,000 of documents of 8 words cut from items
+of 9; above the limit less, and of verbatim copies none.
+
+What is broadcast is counted before and limited by ``broadcast_rows``; beyond
+that the same joins run through exchanges. Copies of a text, and windows of equal
+content, are one row each after the pass over the texts.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import saved, text_of
+from quern.llm.common import free_name, saved, text_of
 
-RADIUS = 19
-SHORT_RADIUS = 23  # of documents shorter than the item
-BLOCKS = RADIUS + 1
+#: (bits, largest distance) of each block: the distances + 1 add up to RADIUS + 1.
+BLOCKS = ((13, 4), (13, 3), (13, 3), (13, 3), (12, 3))
+RADIUS = sum(r + 1 for _, r in BLOCKS) - 1
 SEPARATOR = r"[^\p{L}\p{N}]+"
-LANES = 0x0001000100010001  # every 16th bit: four 16-bit counters in a long
+LANES = 0x0000000100000001  # two 32-bit counters in a long: more than an array can have elements
+FOUND = "doc_id long, text_hash long, item_id {}, start_word long, n_words long, similarity double"
 
 
 def _words(text: Column) -> Column:
@@ -42,42 +55,150 @@ def _shingles(hashes: Column, k: int) -> Column:
     return F.when(n >= k, F.transform(at, lambda i: F.xxhash64(*[F.get(hashes, i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
 
 
+def _shingles_of(hashes: Column, k: Column, sizes: list[int]) -> Column:
+    """``_shingles`` for a ``k`` that differs by row, one of ``sizes``."""
+    return reduce(lambda out, size: F.when(k == size, _shingles(hashes, size)).otherwise(out), sizes, F.array().cast("array<bigint>"))
+
+
 def _word_hashes(text: Column) -> Column:
     return F.transform(_words(text), lambda w: F.xxhash64(w))
 
 
+def _text_key(text: Column) -> list[Column]:
+    """A text's 128-bit key (t1, t2)."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
 def with_simhash(df: DataFrame, shingles: str, out: str) -> DataFrame:
     """Adds the SimHash of an array of shingle hashes: bit b is set if more than half have it."""
+    name, one = free_name(df, "__lanes"), F.lit(1).cast("long")
+    # Element j counts bits j and j + 32.
+    count = lambda j: F.aggregate(shingles, F.lit(0).cast("long"), lambda a, h: a + F.call_function("shiftrightunsigned", h, j).bitwiseAND(F.lit(LANES)))
+    df = df.withColumn(name, F.transform(F.sequence(F.lit(0), F.lit(31)), count))
 
-    def lane_counts(j: int) -> Column:
-        return F.aggregate(shingles, F.lit(0).cast("long"), lambda a, h: a + F.shiftrightunsigned(h, j).bitwiseAND(F.lit(LANES)))
+    def bit(n: Column, j: Column) -> Column:
+        return F.when(n * 2 > F.size(shingles), F.call_function("shiftleft", one, j)).otherwise(F.lit(0).cast("long"))
 
-    lanes = {f"__l{j}": lane_counts(j) for j in range(16)}
-    df = df.withColumns(lanes)
-    bits = F.lit(0).cast("long")
-    for j in range(16):
-        for lane in range(4):
-            n = F.shiftrightunsigned(F.col(f"__l{j}"), 16 * lane).bitwiseAND(F.lit(0xFFFF))
-            bits = bits.bitwiseOR(F.when(n * 2 > F.size(shingles), F.shiftleft(F.lit(1).cast("long"), j + 16 * lane)).otherwise(F.lit(0).cast("long")))
-    return df.withColumn(out, bits).drop(*lanes)
+    both = F.transform(name, lambda n, j: bit(n.bitwiseAND(F.lit(0xFFFFFFFF)), j).bitwiseOR(bit(F.shiftrightunsigned(n, 32), j + 32)))
+    return df.withColumn(out, F.aggregate(both, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))).drop(name)
 
 
-def with_numbered(df: DataFrame, shingles: str) -> DataFrame:
+def with_numbered(df: DataFrame, shingles: str, out: str) -> DataFrame:
     """Repeats of a shingle in the array get hashes of their own, of shingle and occurrence number; sorted."""
-    df = df.withColumn("__s", F.sort_array(shingles))
-    at = F.sequence(F.lit(0), F.size("__s") - 1)
-    df = df.withColumn("__at", F.filter(at, lambda i: ~F.get("__s", i).eqNullSafe(F.get("__s", i - 1))))  # where runs begin
+    s, runs = free_name(df, "__s"), free_name(df, "__at")
+    df = df.withColumn(s, F.sort_array(shingles))
+    at = F.sequence(F.lit(0), F.size(s) - 1)
+    df = df.withColumn(runs, F.filter(at, lambda i: ~F.get(s, i).eqNullSafe(F.get(s, i - 1))))  # where runs begin
 
     def run(a: Column, j: Column) -> Column:
-        part = F.slice("__s", a + 1, F.coalesce(F.get("__at", j + 1), F.size("__s")) - a)
+        part = F.slice(s, a + 1, F.coalesce(F.get(runs, j + 1), F.size(s)) - a)
         return F.transform(part, lambda h, o: F.when(o == 0, h).otherwise(F.xxhash64(h, o)))
 
-    return df.withColumn("__n", F.flatten(F.transform("__at", run))).drop("__s", "__at")
+    return df.withColumn(out, F.flatten(F.transform(runs, run))).drop(s, runs)
+
+
+def _block_values(fingerprint: str) -> list[Column]:
+    out, at = [], 0
+    for bits, _ in BLOCKS:
+        out.append(F.shiftrightunsigned(F.col(fingerprint), at).bitwiseAND(F.lit((1 << bits) - 1)))
+        at += bits
+    return out
 
 
 def _blocks(fingerprint: str) -> Column:
-    cuts = [64 * i // BLOCKS for i in range(BLOCKS + 1)]
-    return F.explode(F.array(*[F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.col(fingerprint), cuts[i]).bitwiseAND(F.lit((1 << cuts[i + 1] - cuts[i]) - 1)).alias("bits")) for i in range(BLOCKS)]))
+    return F.array(*[F.struct(F.lit(i).alias("block"), v.alias("bits")) for i, v in enumerate(_block_values(fingerprint))])
+
+
+def _probes(fingerprint: str) -> Column:
+    """All values of each block within its share of the radius."""
+
+    def near(i: int, value: Column) -> Column:
+        bits, radius = BLOCKS[i]
+        masks = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << bits) - 1).cast("long")), lambda x: F.bit_count(x) <= radius)
+        return F.transform(masks, lambda x: F.struct(F.lit(i).alias("block"), value.bitwiseXOR(x).alias("bits")))
+
+    return F.concat(*[near(i, v) for i, v in enumerate(_block_values(fingerprint))])
+
+
+class _Items:
+    """The benchmark, one row for each distinct sequence of words."""
+
+    def __init__(self, benchmark: DataFrame, words: int, item_column: str, item_text: str):
+        items = benchmark.select(F.col(item_column).alias("item_id"), _word_hashes(text_of(item_text)).alias("hs")).filter(F.size("hs") > 0)
+        items = items.withColumn("n_words", F.size("hs")).withColumn("k", F.least(F.lit(words), F.size("hs"))).withColumn("item", F.xxhash64("hs"))
+        self.names = saved(items.select("item_id", "item", "n_words").distinct())
+        self.sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # 1..words at most
+        distinct = items.groupBy("item", "n_words", "k").agg(F.any_value("hs").alias("hs"))
+        self.shingled = saved(distinct.select("item", "n_words", "k", _shingles_of(F.col("hs"), F.col("k"), self.sizes).alias("sh")))
+        # A shingle and the lengths of the items that have it.
+        self.offers = saved(self.shingled.select("k", "n_words", F.explode("sh").alias("h")).groupBy("h", "k").agg(F.sort_array(F.collect_set("n_words")).alias("lengths")))
+
+
+def _spans(docs: DataFrame, text_column: str, items: _Items, percent: int, broadcast_rows: int) -> DataFrame:
+    """(t1, t2, spans): for each text, the windows that share enough shingles with the
+    benchmark, as intervals of starts for each item length."""
+    text = text_of(text_column)
+    hashed = docs.select(*_text_key(text), _word_hashes(text).alias("hs"))
+    spots = hashed.select("t1", "t2", F.size("hs").alias("size"), F.posexplode(F.concat(*[_shingles(F.col("hs"), k) for k in items.sizes])).alias("i", "h"))
+    met = spots.join(F.broadcast(items.offers) if items.offers.count() <= broadcast_rows else items.offers, "h")
+    before, place = F.lit(0), F.col("i")  # the places of one k stand after those of smaller ones
+    for k in items.sizes:
+        place = F.when(F.col("k") == k, F.col("i") - before).otherwise(place)
+        before = before + F.greatest(F.col("size") - k + 1, F.lit(0))
+    hits = met.select("t1", "t2", "size", "k", place.alias("p"), F.explode("lengths").alias("n_words"))
+    runs = hits.groupBy("t1", "t2", "size", "k", "n_words").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+
+    wanted = F.col("n_words") - F.col("k") + 1
+    runs = runs.withColumn("m", F.least(wanted, F.col("size") - F.col("k") + 1))
+    runs = runs.withColumn("need", F.ceil(percent * (F.col("m") + wanted) / (100 + percent)).cast("int")).withColumn("top", F.greatest(F.col("size") - F.col("n_words"), F.lit(0)))
+    runs = runs.filter(F.size("ps") >= F.col("need"))
+    ps, top = F.col("ps"), F.col("top")
+
+    def interval(i: Column) -> Column:
+        """The starts whose window holds the need-th place from the i-th on, but not the place before."""
+        low = F.greatest(F.get(ps, i + F.col("need") - 1) - F.col("m") + 1, F.when(i > 0, F.least(F.get(ps, i - 1), top) + 1).otherwise(0))
+        return F.struct(low.alias("low"), F.least(F.get(ps, i), top).alias("high"))
+
+    at = F.filter(F.transform(F.sequence(F.lit(0), F.size("ps") - F.col("need")), interval), lambda x: x["low"] <= x["high"])
+    runs = runs.withColumn("at", at).filter(F.size("at") > 0)
+    return runs.groupBy("t1", "t2").agg(F.collect_list(F.struct("n_words", "k", "m", "at")).alias("spans"))
+
+
+def _windows(docs: DataFrame, text_column: str, spans: DataFrame, items: _Items, broadcast_rows: int) -> DataFrame:
+    """(t1, t2, n_words, k, start, m, content, sh) of every window of ``spans``."""
+    ids = spans.select("t1", "t2")
+    text = text_of(text_column)
+    texts = docs.select(*_text_key(text), text.alias("text"))
+    texts = texts.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, ["t1", "t2"], "left_semi")
+    texts = texts.groupBy("t1", "t2").agg(F.any_value("text").alias("text")).select("t1", "t2", _word_hashes(F.col("text")).alias("hs"))
+    out = texts.join(spans, ["t1", "t2"]).select("t1", "t2", "hs", F.explode("spans").alias("s")).select("t1", "t2", "hs", "s.n_words", "s.k", "s.m", F.explode("s.at").alias("at"))
+    out = out.select("t1", "t2", "hs", "n_words", "k", "m", F.explode(F.sequence("at.low", "at.high")).alias("start"))
+    out = out.withColumn("hs", F.slice("hs", F.col("start") + 1, F.col("m") + F.col("k") - 1))
+    out = out.withColumn("sh", _shingles_of(F.col("hs"), F.col("k"), items.sizes)).drop("hs")
+    return out.withColumn("content", F.xxhash64("sh"))
+
+
+def _found(docs: DataFrame, text_column: str, items: _Items, percent: int, broadcast_rows: int) -> DataFrame:
+    """(t1, t2, item, start, span, similarity): the best window of each text and item."""
+    spans = saved(_spans(docs, text_column, items, percent, broadcast_rows))
+    windows = saved(_windows(docs, text_column, spans, items, broadcast_rows))
+    kinds = windows.groupBy("n_words", "content").agg(F.any_value("sh").alias("sh"))
+    kinds = saved(with_simhash(with_numbered(kinds, "sh", "ours"), "ours", "print").drop("sh"))
+    theirs = saved(with_simhash(with_numbered(items.shingled, "sh", "theirs"), "theirs", "item_print").drop("sh"))
+
+    # Multi-index Hamming join, then the exact similarity.
+    ours = kinds.select("n_words", "content", "print", F.explode(_blocks("print")).alias("b")).select("n_words", "content", "print", "b.*")
+    probes = theirs.select("item", "n_words", "item_print", F.explode(_probes("item_print")).alias("b")).select("item", "n_words", "item_print", "b.*")
+    met = ours.join(probes, ["n_words", "block", "bits"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+    met = saved(met.select("n_words", "content", "item").distinct())
+    pairs = met.join(kinds.select("n_words", "content", "ours"), ["n_words", "content"]).join(theirs.select("item", "n_words", "theirs"), ["item", "n_words"])
+    both = F.size(F.array_intersect("ours", "theirs"))
+    pairs = pairs.select("n_words", "content", "item", both.alias("both"), (F.size("ours") + F.size("theirs") - both).alias("either"))
+    sure = saved(pairs.filter(100 * F.col("both") >= percent * F.col("either")).select("n_words", "content", "item", (F.col("both") / F.col("either")).alias("similarity")))
+
+    places = windows.select("t1", "t2", "n_words", "content", "start", (F.col("m") + F.col("k") - 1).alias("span")).join(sure, ["n_words", "content"])
+    best = places.groupBy("t1", "t2", "item", "n_words").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "span")).alias("b"))
+    return saved(best.select("t1", "t2", "item", F.col("n_words").alias("length"), (-F.col("b.s")).cast("long").alias("start"), F.col("b.span").cast("long").alias("span"), F.col("b.similarity").alias("similarity")))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, words: int = 5, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -88,67 +209,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, words: int =
     Words are runs of letters and digits, lower-cased. An item of fewer words than
     ``words`` is one shingle; one without words (null, empty) matches nothing, nor
     does a null or empty document. Between equally similar windows the first
-    counts. Repeated rows give one row for each item; rows that share an id are
-    told apart by text_hash, xxhash64 of the text. Empty tables give an empty
-    result; other columns are not read.
+    counts. Items of equal words, repeated or not, each give their rows. Repeated
+    rows of a document give one row for each item; rows that share an id are told
+    apart by text_hash, xxhash64 of the text. Null ids are ids like others. Empty
+    tables give an empty result; other columns are not read.
     """
-    items = benchmark.select(F.col(item_column).alias("item_id"), _word_hashes(text_of(item_text)).alias("hs")).filter(F.size("hs") > 0)
-    items = items.withColumn("n_words", F.size("hs")).withColumn("k", F.least(F.lit(words), F.size("hs")))
-    sizes = sorted(r["k"] for r in items.select("k").distinct().collect())  # 1..words at most
-    shingle = F.array().cast("array<bigint>")
-    for k in sizes:
-        shingle = F.when(F.col("k") == k, _shingles(F.col("hs"), k)).otherwise(shingle)
-    items = saved(items.withColumn("sh", shingle).dropDuplicates(["item_id", "hs"]).select("item_id", "n_words", "k", "sh"))
-    grams = saved(items.select("item_id", "n_words", "k", F.posexplode("sh").alias("at", "h")))
-    # Where a shingle stands in items: their lengths and its offsets.
-    offers = saved(grams.select("k", "h", "n_words", "at").distinct())
-    small = offers.count() <= broadcast_rows
-    offers = F.broadcast(offers) if small else offers
-
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.xxhash64(text_of(text_column)).alias("text_hash"), text_of(text_column).alias("text"))
-    hashed = texts.select("doc_id", "text_hash", _word_hashes(F.col("text")).alias("hs"))
-    windows = None
-    for k in sizes:
-        spots = hashed.select("doc_id", "text_hash", F.size("hs").alias("size"), F.posexplode(_shingles(F.col("hs"), k)).alias("p", "h"))
-        near = spots.join(offers.filter(F.col("k") == k), "h").select("doc_id", "text_hash", "size", "k", "n_words", F.greatest(F.lit(0), F.least(F.col("p") - F.col("at"), F.col("size") - F.col("n_words"))).alias("start"))
-        # A shorter document is one window, whole; its similarity is at most its share of the item's shingles.
-        near = near.filter(100 * (F.col("size") - k + 1) >= percent * (F.col("n_words") - k + 1)).drop("size")
-        windows = near if windows is None else windows.unionAll(near)
-    if windows is None:
-        windows = texts.select("doc_id", "text_hash", F.lit(1).alias("k"), F.lit(1).alias("n_words"), F.lit(0).alias("start")).limit(0)
-    windows = saved(windows.distinct())
-
-    # Fingerprints, from the words of those documents alone.
-    used = saved(windows.select("doc_id", "text_hash").distinct())
-    kept = texts.join(used.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left_semi")
-    kept = saved(kept.dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), _word_hashes(F.col("text")).alias("hs")))
-    full = windows.join(kept, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t"))).select("doc_id", "text_hash", "k", "n_words", "start", F.slice("hs", F.col("start") + 1, F.col("n_words")).alias("hs"))
-    shingle = F.array().cast("array<bigint>")
-    for k in sizes:
-        shingle = F.when(F.col("k") == k, _shingles(F.col("hs"), k)).otherwise(shingle)
-    full = with_simhash(with_numbered(full.withColumn("sh", shingle).drop("hs"), "sh"), "__n", "print").drop("__n")
-    full = saved(full)
-
-    # Multi-index Hamming join, then the exact similarity.
-    k = F.least(F.lit(words), F.col("n_words"))
-    radius = F.when(F.size("sh") < F.col("n_words") - k + 1, SHORT_RADIUS).otherwise(RADIUS)
-    ours = full.select("doc_id", "text_hash", "start", "n_words", radius.alias("radius"), "print", _blocks("print").alias("b")).select("*", "b.*").drop("b")
-    theirs = with_simhash(with_numbered(items, "sh"), "__n", "item_print").select("item_id", "n_words", "item_print", _blocks("item_print").alias("b")).select("item_id", "n_words", "item_print", "b.*")
-    met = ours.join(F.broadcast(theirs) if small else theirs, ["n_words", "block", "bits"]).filter(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= F.col("radius"))
-    met = saved(met.select("doc_id", "text_hash", "start", "n_words", "item_id").distinct())
-    own = full.select(F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.col("start").alias("s"), F.col("n_words").alias("n"), "sh")
-    pairs = met.join(own, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")) & (F.col("start") == F.col("s")) & (F.col("n_words") == F.col("n"))).drop("d", "t", "s", "n")
-    ident = ["doc_id", "text_hash", "start", "n_words", "item_id"]
-    counted = pairs.select(*ident, F.size("sh").alias("m"), F.explode("sh").alias("h")).groupBy(*ident, "m", "h").agg(F.count(F.lit(1)).alias("c"))
-    wanted = grams.groupBy(F.col("item_id").alias("i"), F.col("h").alias("ih")).agg(F.count(F.lit(1)).alias("ic"))
-    shared = counted.join(F.broadcast(wanted) if small else wanted, (F.col("item_id") == F.col("i")) & (F.col("h") == F.col("ih"))).groupBy(*ident, "m").agg(F.sum(F.least("c", "ic")).alias("both"))
-    shared = shared.withColumn("either", F.col("m") + F.col("n_words") - k + 1 - F.col("both")).withColumn("n_words", F.col("m") + k - 1)
-    sure = shared.filter(100 * F.col("both") >= percent * F.col("either")).withColumn("similarity", F.col("both") / F.col("either"))
-    best = sure.groupBy("doc_id", "text_hash", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"), "n_words")).alias("b"))
-    return best.select("doc_id", "text_hash", "item_id", (-F.col("b.s")).cast("long").alias("start_word"), F.col("b.n_words").cast("long").alias("n_words"), F.col("b.similarity").alias("similarity"))
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 80, words: int = 5, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text holds a passage of the benchmark; all columns kept."""
-    found = saved(leaks(docs, benchmark, percent, words, id_column, text_column).select(F.col("doc_id").alias("__d"), F.col("text_hash").alias("__t")).distinct())
-    return docs.join(found, F.col(id_column).cast("long").eqNullSafe(F.col("__d")) & (F.xxhash64(text_of(text_column)) == F.col("__t")), "left_anti")
+    items = _Items(benchmark, words, item_column, item_text)
+    if not items.sizes:
+        return docs.sparkSession.createDataFrame([], FOUND.format(benchmark.schema[item_column].dataType.simpleString()))
+    found = _found(docs, text_column, items, percent, broadcast_rows)
+    named = saved(found.join(items.names.select("item_id", "item", F.col("n_words").alias("length")), ["item", "length"]).drop("item", "length").withColumnsRenamed({"t1": "u1", "t2": "u2"}))
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), *_text_key(text_of(text_column)))
+    rows = rows.join(F.broadcast(named) if named.count() <= broadcast_rows else named, (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")))
+    return rows.select("doc_id", F.col("t1").alias("text_hash"), "item_id", F.col("start").alias("start_word"), F.col("span").alias("n_words"), "similarity").distinct()
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 80, words: int = 5, text_column: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``docs`` without the rows whose text holds a passage of the benchmark; all columns kept.
+
+    Null and empty texts stay, as do null ids; repeated rows stay or go together.
+    An empty table gives an empty result, an empty benchmark all rows. Columns may
+    have any name.
+    """
+    items = _Items(benchmark, words, "item_id", "text")
+    if not items.sizes:
+        return docs
+    a, b = free_name(docs, "__t1"), free_name(docs, "__t2")
+    found = saved(_found(docs, text_column, items, percent, broadcast_rows).select(F.col("t1").alias(a), F.col("t2").alias(b)).distinct())
+    found = F.broadcast(found) if found.count() <= broadcast_rows else found
+    t1, t2 = _text_key(text_of(text_column))
+    return docs.join(found, (t1 == F.col(a)) & (t2 == F.col(b)), "left_anti")
