@@ -128,10 +128,11 @@ class ToxicityModel:
 def score_toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 1500, threshold: float = 0.5, id_column: str = "doc_id", text_column: str = "text", label: str = "toxic") -> DataFrame:
     """One row per row: doc_id, held_out, score, predicted.
 
-    Null and empty texts have the score of a text without words. Repeated rows
-    score alike; a null id counts as held out. Without labelled rows of both
-    classes all scores are the share of label 1 (0.5 without any). An empty table
-    gives an empty result; only the text enters a score.
+    The model is fitted on at most ``per_class`` labelled rows of each class. Null
+    and empty texts have the score of a text without words. Equal texts score alike;
+    a null id counts as held out. Without labelled rows of both classes all scores
+    are the share of label 1 (0.5 without any). An empty table gives an empty
+    result; only the text enters a score, so other columns may have any name.
     """
     model = docs.sparkSession.sparkContext.broadcast(ToxicityModel(*labelled_sample(docs, labels, label, per_class, id_column=id_column, text_column=text_column)))
     return scored(docs, lambda texts: model.value.score(texts), threshold, id_column, text_column)
