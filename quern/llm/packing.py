@@ -3,13 +3,16 @@
 Documents of a task stay in their order, end to end, and are cut into windows of
 at most ``window`` tokens. Cuts may stand at document ends (free), sentence ends
 (SENTENCE_PENALTY) and, inside a sentence of over LONG_SENTENCE tokens only, at
-every STEP tokens (HARD_PENALTY). The cuts minimise padding plus penalties:
+every STEP tokens (HARD_PENALTY); one inside a document that would fit a window
+whole costs WHOLE_PENALTY more. The cuts minimise padding plus penalties, which
+are in tokens of padding:
 
     best[j] = penalty[j] + WINDOW_COST + min over i of best[i] + padding(j - i)
 
-where padding is ``window`` minus the length, or 0 at a power of two. The first
-part of the minimum is a sliding one, kept in a monotone queue, so a candidate
-costs constant time; the powers of two are looked up.
+where padding is ``window`` minus the length, or 0 at a power of two from 64 on
+(shorter windows aren't worth having). The first part of the minimum is a sliding
+one, kept in a monotone queue, so a candidate costs constant time; the powers of
+two are looked up.
 
 Tasks work independently on blocks of BLOCK tokens or more (whole documents), so
 memory is bounded by a block or the longest document, nothing shuffles, and a
@@ -31,7 +34,7 @@ from pyspark.sql import functions as F
 
 WINDOW = 1024
 BLOCK = 1 << 18
-SENTENCE_PENALTY, HARD_PENALTY, WINDOW_COST = 3, 12, 2
+SENTENCE_PENALTY, HARD_PENALTY, WHOLE_PENALTY, WINDOW_COST = 16, 48, 64, 32
 LONG_SENTENCE, STEP = 96, 8
 END_OF_TEXT = "<|endoftext|>"
 _TWO_SPACES = re.compile(r"\s\s")
@@ -65,16 +68,10 @@ class Tokenizer:
         return np.array(code.encode(text, allowed_special="all") if END_OF_TEXT in text else code.encode_ordinary(text), np.uint32)
 
 
-def choose_cuts(total: int, at: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> list[int]:
-    """Window ends out of the candidates ``at`` (ascending, the last is ``total``)."""
-    cuts, costs = [0], [0]
-    for p, c in zip(at.tolist(), penalty.tolist(), strict=True):
-        if p - cuts[-1] > LONG_SENTENCE:
-            inside = range(cuts[-1] + STEP, p, STEP)
-            cuts += inside
-            costs += [HARD_PENALTY] * len(inside)
-        cuts.append(p)
-        costs.append(c)
+def choose_cuts(at: np.ndarray, penalty: np.ndarray, window: int = WINDOW) -> list[int]:
+    """Window ends out of the candidates ``at``: ascending, none more than ``window``
+    after the one before (or 0); the last always is one."""
+    cuts, costs = [0, *at.tolist()], [0, *penalty.tolist()]
     powers = [1 << k for k in range(6, window.bit_length() - 1)]
     where = {p: k for k, p in enumerate(cuts)}
     n = len(cuts)
@@ -102,20 +99,33 @@ def choose_cuts(total: int, at: np.ndarray, penalty: np.ndarray, window: int = W
     return out[::-1]
 
 
+def _candidates(sizes: np.ndarray, sentence_end: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places for cuts, penalties) of documents of these token counts, end to end."""
+    doc_end = np.cumsum(sizes)
+    mark = sentence_end.copy()
+    mark[doc_end - 1] = True
+    ends = np.flatnonzero(mark) + 1
+    begins = np.concatenate([[0], ends[:-1]])
+    long = np.flatnonzero(ends - begins > min(LONG_SENTENCE, window // 2))
+    inside = np.concatenate([np.empty(0, np.int64), *[np.arange(begins[k] + STEP, ends[k], STEP) for k in long]])
+    at = np.concatenate([ends, inside])
+    cost = np.concatenate([np.full(len(ends), SENTENCE_PENALTY), np.full(len(inside), HARD_PENALTY)])
+    order = np.argsort(at, kind="stable")
+    at, cost = at[order], cost[order]
+    doc = np.searchsorted(doc_end, at)
+    return at, np.where(at == doc_end[doc], 0, cost + WHOLE_PENALTY * (sizes[doc] <= window))
+
+
 def pack_block(docs: list[np.ndarray], ends_sentence: np.ndarray, window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, window, offset) of each piece, in order."""
-    ids = np.concatenate(docs)
-    doc_end = np.cumsum([len(d) for d in docs])
-    mark = ends_sentence[ids]
-    mark[doc_end - 1] = True
-    at = np.flatnonzero(mark) + 1
-    penalty = np.where(np.isin(at, doc_end), 0, SENTENCE_PENALTY)
+    sizes = np.array([len(d) for d in docs])
+    doc_end = np.cumsum(sizes).tolist()
     pieces, d, begin = [], 0, 0
-    for w, end in enumerate(choose_cuts(len(ids), at, penalty, window)):
+    for w, end in enumerate(choose_cuts(*_candidates(sizes, ends_sentence[np.concatenate(docs)], window), window)):
         p = begin
         while p < end:
-            first = int(doc_end[d]) - len(docs[d])
-            stop = min(end, int(doc_end[d]))
+            first = doc_end[d] - len(docs[d])
+            stop = min(end, doc_end[d])
             pieces.append((d, p - first, stop - p, w, p - begin))
             p = stop
             if p == doc_end[d]:
@@ -163,9 +173,10 @@ def pack(docs: DataFrame, window: int = WINDOW, ranks_path: str | None = None, w
 
     Each document's ids and one id 0 after them lie in exactly one piece each;
     offsets in a sequence have no gap. A null or empty text is its id 0 alone.
-    Repeated rows are packed each, null ids too. sequence_id holds the task's
-    number in its high bits. An empty table gives an empty result; other columns
-    are not read. ``window`` must be a power of two.
+    Repeated rows are packed each, null ids too; very long texts span as many
+    sequences as they need. sequence_id holds the task's number in its high bits. An
+    empty table gives an empty result; other columns are not read and may have any
+    name. ``window`` must be a power of two, 64 at least.
     """
     if window < 64 or window & (window - 1):
         raise ValueError("window must be a power of two, 64 at least")
