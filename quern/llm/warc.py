@@ -3,20 +3,21 @@
 Each HTTP response gives a ``metadata`` record (application/warc-fields: status,
 source headers and digests, title, language, out-links) and, if it is text, a
 ``conversion`` record (text/plain). Both name their source in WARC-Refers-To,
-with its target URI and date; record ids are UUIDs made from the source's id, so
-a task that is run again gives the same bytes. Every record is handled by itself:
-nothing shuffles and memory is bounded by a batch.
-
-Reading: whole ``.warc`` and ``.warc.gz`` files of up to 2 GB through Spark's
-binary source. Writing: Spark's text writer with the record separator between
+with its target URI and date; record ids are UUIDs made from the source's id and
+block digest, so a task that is run again gives the same bytes and different
+sources give different ids. Every record is handled by itself: nothing shuffles,
+and a task holds an Arrow batch of records and SLICE of their derivatives.
+
+Reading: Spark's text source, cut where a record's end is followed by the next
+one's version, so that files of any size stream through, gzipped by record or as a
+whole; a payload that has this sequence itself is put together again by its
+Content-Length. Writing: Spark's text writer with the record's end between
 records, so files go wherever Spark can write.
 """
 
 import base64
-import gzip
 import hashlib
 import html as html_lib
-import io
 import re
 import uuid
 from collections.abc import Iterator
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 
 VERSION = "WARC/1.1"
 DATE = "2024-01-01T00:00:00Z"
+END, NEXT = "\r\n\r\n", "WARC/1."  # a record's end, and how the next one begins
+SLICE = 256
 #: Fixed values. Elements whose content isn't text, and those that end a line.
 HIDDEN = ("script", "style", "noscript", "template", "iframe", "svg")
 BREAKS = "address article aside blockquote body br dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table td th title tr ul".split()
@@ -35,8 +38,7 @@ _TAG = re.compile(r"<(?:!--|(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[!?])")
 # Attributes as HTML tokenizers take them: a quote opens a value only right after =, and only if it is closed.
 _REST = re.compile(r"""(?:[ \t\n\f\r/]++|[^ \t\n\f\r/>][^ \t\n\f\r/>=]*+(?:[ \t\n\f\r]*+=[ \t\n\f\r]*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^ \t\n\f\r>]++)?+)?+)*+>""")
 _CLOSE = {t: re.compile(f"</{t}", re.IGNORECASE) for t in HIDDEN}
-_HREF = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_LANG = re.compile(r"""\blang\s*=\s*["']?([A-Za-z-]+)""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^ \t\n\f\r/>][^ \t\n\f\r/>=]*)(?:[ \t\n\f\r]*=[ \t\n\f\r]*(?:"([^"]*)"|'([^']*)'|((?!["'])[^ \t\n\f\r>]+)))?""")
 _META = re.compile(rb"""<meta[^>]{0,200}?charset\s*=\s*["']?([A-Za-z0-9_-]+)""", re.IGNORECASE)
 SCHEMA = "page_id long, warc_type string, record_id string, refers_to string, target_uri string, date string, content_type string, content_length long, block_digest string, source_payload_digest string, block string, record string, error string"
 
@@ -59,7 +61,7 @@ def response_record(url: str | None, body: str | None, key: str, date: str = DAT
     payload = (body or "").encode("utf-8", "surrogatepass")
     url = re.sub(r"[\r\n]+", "", url or "")
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", f"{key} {url}")), ("WARC-Date", date), ("WARC-Target-URI", url), ("Content-Type", "application/http; msgtype=response"),
+    headers = [("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", f"{key} {url} {digest(payload)}")), ("WARC-Date", date), ("WARC-Target-URI", url), ("Content-Type", "application/http; msgtype=response"),
                ("WARC-Payload-Digest", digest(payload)), ("WARC-Block-Digest", digest(http + payload)), ("Content-Length", str(len(http + payload)))]
     return record(headers, http + payload)
 
@@ -80,33 +82,70 @@ def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
     head, gap, rest = data.partition(b"\r\n\r\n")
     if not head.startswith(b"WARC/") or not gap:
         raise ValueError("no WARC header")
-    headers = {k.lower(): v for k, v in _fields(head.partition(b"\r\n")[2])}
+    headers = dict(_lower(head))
     size = int(headers.get("content-length", "-1"))
     if not 0 <= size <= len(rest):
         raise ValueError("the block is shorter than its Content-Length")
     return headers, rest[:size]
 
 
-def split_records(data: bytes) -> Iterator[bytes]:
-    """The records of a file, plain or gzipped by record or as a whole."""
-    at = 0
-    if data[:2] == b"\x1f\x8b":
-        data = gzip.GzipFile(fileobj=io.BytesIO(data)).read()
-    while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0:
+def whole_records(parts: Iterator[tuple[str, bytes]]) -> Iterator[tuple[str, bytes]]:
+    """(path, record) out of (path, part) in the order of the files, where a part ends at each
+    END + NEXT. A part too short for its Content-Length goes on with the next of its file; if
+    the file ends before, it is broken and those after it stand for themselves."""
+    path, held = None, []
+    for name, part in parts:
+        if name != path:
+            yield from ((path, x) for x in _settle(held, True))
+            path, held = name, []
+        held.append(part)
+        yield from ((path, x) for x in _settle(held, False))
+    yield from ((path, x) for x in _settle(held, True))
+
+
+def _settle(held: list[bytes], last: bool) -> Iterator[bytes]:
+    """Takes from ``held`` the records that are whole; all if these are the file's ``last`` parts."""
+    while held:
+        first = data = held[0] if held[0].startswith(NEXT.encode()) else NEXT.encode() + held[0]
+        n = 1
+        while (lacks := _lacks(data)) and n < len(held):
+            data, n = data + (END + NEXT).encode() + held[n], n + 1
+        if lacks and not last:
             return
-        size = next((int(v) for k, v in _fields(data[at:end]) if k.lower() == "content-length" and v.isdigit()), 0)
-        yield data[at : end + 4 + size]
-        at = end + 4 + size
+        yield first if lacks else data
+        del held[: 1 if lacks else n]
+
+
+def _lacks(data: bytes) -> bool:
+    head, _, rest = data.partition(END.encode())
+    size = dict(_lower(head)).get("content-length", "")
+    return size.isdigit() and len(rest) < int(size)
+
+
+def _lower(head: bytes) -> list[tuple[str, str]]:
+    return [(k.lower(), v) for k, v in _fields(head.partition(b"\r\n")[2])]
+
+
+def _attributes(tag: str) -> dict[str, str]:
+    """The attributes of a tag by lower-case name; of repeated ones the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(tag):
+        out.setdefault(m[1].lower(), html_lib.unescape(m[2] or m[3] or m[4] or ""))
+    return out
 
 
 def html_text(page: str) -> tuple[str, str, str, list[str]]:
-    """(text, title, language, out-links) in one pass; block elements end lines."""
-    out, links, title, lang, at, quotes = [], [], "", "", 0, True
+    """(text, title, language, out-links) in one pass. Block elements end lines, and so do
+    line feeds inside ``pre``; elsewhere white space is a space."""
+    out, links, title, lang, at, quotes, pre = [], [], "", "", 0, True, 0
     title_from = None
+
+    def said(piece: str) -> str:
+        piece = html_lib.unescape(piece)
+        return piece if pre else piece.replace("\n", " ")
+
     while m := _TAG.search(page, at):
-        out.append(page[at : m.start()])
+        out.append(said(page[at : m.start()]))
         if m[0] == "<!--":
             end = page.find("-->", m.end())
             at = end + 3 if end >= 0 else len(page)
@@ -125,19 +164,21 @@ def html_text(page: str) -> tuple[str, str, str, list[str]]:
             at = close.start() if close else len(page)
         elif tag == "title":
             if m[1] and title_from is not None:
-                title = " ".join(html_lib.unescape("".join(out[title_from:])).split())
+                title = " ".join("".join(out[title_from:]).split())
                 del out[title_from:]
                 title_from = None
             elif not m[1] and not title:
                 title_from = len(out)
-        elif tag == "a" and not m[1] and (h := _HREF.search(attributes)):
-            links.append(html_lib.unescape(h[1] or h[2] or h[3] or ""))
-        elif tag == "html" and not m[1] and (h := _LANG.search(attributes)):
-            lang = h[1]
+        elif tag == "a" and not m[1] and "href" in (named := _attributes(attributes)):
+            links.append(named["href"].strip())
+        elif tag == "html" and not m[1]:
+            lang = _attributes(attributes).get("lang", lang)
+        elif tag == "pre":
+            pre = max(0, pre + (-1 if m[1] else 1))
         if tag in BREAKS:
             out.append("\n")
-    out.append(page[at:])
-    lines = (" ".join(x.split()) for x in html_lib.unescape("".join(out)).split("\n"))
+    out.append(said(page[at:]))
+    lines = (" ".join(x.split()) for x in "".join(out).split("\n"))
     return "\n".join(x for x in lines if x), title, lang, links
 
 
@@ -160,8 +201,8 @@ def derive(data: bytes, date: str = DATE) -> list[dict]:
     fields = _fields(lines)
     kind = next((v for k, v in fields if k.lower() == "content-type"), "")
     source, uri = head.get("warc-record-id", ""), head.get("warc-target-uri", "")
-    computed = digest(payload)
-    notes = [("status", status.decode("latin-1")), ("source-date", head.get("warc-date", "")), ("source-payload-digest", head.get("warc-payload-digest", computed)), ("source-block-digest", head.get("warc-block-digest", digest(block)))]
+    computed, own = digest(payload), digest(block)
+    notes = [("status", status.decode("latin-1")), ("source-date", head.get("warc-date", "")), ("source-payload-digest", head.get("warc-payload-digest", computed)), ("source-block-digest", head.get("warc-block-digest", own))]
     notes += [("digest-verified", str(head.get("warc-payload-digest", computed) == computed).lower())] + [("http-" + k.lower(), v) for k, v in fields]
     text = None
     if "html" in kind.lower():
@@ -179,7 +220,7 @@ def derive(data: bytes, date: str = DATE) -> list[dict]:
         made.append(("conversion", "text/plain; charset=utf-8", text.encode("utf-8", "replace")))
     out = []
     for warc_type, content_type, body in made:
-        rid = record_id(warc_type, source)
+        rid = record_id(warc_type, f"{source} {own}")
         headers = [("WARC-Type", warc_type), ("WARC-Record-ID", rid), ("WARC-Date", date), ("WARC-Target-URI", uri), ("WARC-Refers-To", source), ("WARC-Refers-To-Target-URI", uri), ("WARC-Refers-To-Date", head.get("warc-date", "")),
                    ("Content-Type", content_type), ("WARC-Block-Digest", digest(body)), ("WARC-Source-Payload-Digest", head.get("warc-payload-digest", computed)), ("Content-Length", str(len(body)))]
         out.append({"warc_type": warc_type, "record_id": rid, "refers_to": source, "target_uri": uri, "date": date, "content_type": content_type, "content_length": len(body), "block_digest": digest(body),
@@ -192,11 +233,17 @@ def _arrow_schema() -> pa.Schema:
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in SCHEMA.split(", "))])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, SLICE):
+            yield batch.slice(i, SLICE)
+
+
 def _derive(date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = _arrow_schema()
         empty = dict.fromkeys(schema.names)
-        for batch in batches:
+        for batch in _slices(batches):
             rows = []
             for key, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
@@ -216,17 +263,23 @@ def derivatives(records: DataFrame, id_column: str = "page_id", record_column: s
     ``record`` holds each derivative as it stands in a file, ``block`` its content.
     A null or broken record gives one row of warc_type ``error`` with the reason;
     records that aren't HTTP responses give none. An empty page has an empty
-    conversion. Repeated rows give repeated records of the same ids. An empty
-    table gives an empty result; other columns are not read.
+    conversion. Repeated rows give repeated records of the same ids; null ids stay
+    null. An empty table gives an empty result; other columns are not read and may
+    have any name.
     """
     return records.select(F.col(id_column).cast("long").alias("page_id"), F.col(record_column).alias("record")).mapInArrow(_derive(date), SCHEMA)
 
 
 def responses(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", date: str = DATE) -> DataFrame:
-    """(page_id, record): pages as response records; null url or html count as empty."""
+    """(page_id, record): pages as response records.
+
+    Null url or html count as empty. A record's id is made of the row's id, url and
+    html, so only rows alike in all three share it. An empty table gives an empty
+    result; other columns are not read and may have any name.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             made = [response_record(u.as_py(), h.as_py(), str(k.as_py()), date) for k, u, h in zip(*batch.columns, strict=True)]
             yield pa.RecordBatch.from_pydict({"page_id": batch.column(0), "record": pa.array(made, pa.binary())})
 
@@ -234,17 +287,28 @@ def responses(pages: DataFrame, id_column: str = "page_id", url_column: str = "u
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(page_id, path, record) of every record of the files; page_id is its place in the file."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, data in zip(*batch.columns, strict=True):
-                for i, x in enumerate(split_records(data.as_py())):
-                    yield pa.RecordBatch.from_pydict({"page_id": pa.array([i], pa.int64()), "path": pa.array([name.as_py()]), "record": pa.array([x], pa.binary())})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "page_id long, path string, record binary")
+    """(page_id, path, record) of every record of the files; page_id is a hash of the record's id.
 
+    Memory is bounded by a record. Empty files give no rows, a broken record one
+    that ``derivatives`` reports. Of a plain file that Spark splits, a payload that
+    holds a record's end and the next one's beginning right at a split is broken;
+    gzipped files are never split.
+    """
 
-def write_warc(derived: DataFrame, path: str, compression: str = "gzip") -> None:
-    """One file per partition; errors are left out."""
-    derived.filter("warc_type <> 'error'").select("record").write.option("lineSep", "\r\n\r\n").option("compression", compression).text(path)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = ((name.as_py(), data.as_py()) for batch in batches for name, data in zip(*batch.columns, strict=True))
+        for name, data in whole_records(parts):
+            key = dict(_lower(data.partition(END.encode())[0])).get("warc-record-id", digest(data))
+            number = int.from_bytes(hashlib.blake2b(key.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+            yield pa.RecordBatch.from_pydict({"page_id": pa.array([number], pa.int64()), "path": pa.array([name]), "record": pa.array([data], pa.binary())})
+
+    parts = spark.read.option("lineSep", END + NEXT).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("part"))
+    return parts.mapInArrow(run, "page_id long, path string, record binary")
+
+
+def write_warc(records: DataFrame, path: str, compression: str = "gzip") -> None:
+    """A file for each partition of the column ``record``; null records and the errors of
+    ``derivatives`` are left out. An empty table gives no records."""
+    if "error" in records.columns:
+        records = records.filter("error is null")
+    records.filter("record is not null").select(F.col("record").cast("string")).write.option("lineSep", END).option("compression", compression).text(path)
