@@ -12,14 +12,24 @@ SPACE = r"[\x20\x09-\x0D]"
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests, a single machine) one is made.
+    Where the session has none, one is made on a single machine (master ``local``);
+    on a cluster a folder of the driver's would not do, so that raises.
     """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Spark can write."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written to the shared checkpoint folder and read back."""
     shared_folder(df.sparkSession)
@@ -31,6 +41,16 @@ def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def text_key(text: Column) -> list[Column]:
+    """A text's 128-bit key (t1, t2): 64 bits would collide among 10^10 texts."""
+    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
+
+
+def small_enough(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, a checkpointed table of narrow rows, with a broadcast hint if it has at most ``rows``."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """``name``, or it with underscores before it, that no column of ``df`` has (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -34,7 +34,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import free_name, saved, text_of
+from quern.llm.common import free_name, saved, small_enough, text_key, text_of
 
 #: (bits, largest distance) of each block: the distances + 1 add up to RADIUS + 1.
 BLOCKS = ((13, 4), (13, 3), (13, 3), (13, 3), (12, 3))
@@ -64,11 +64,6 @@ def _word_hashes(text: Column) -> Column:
     return F.transform(_words(text), lambda w: F.xxhash64(w))
 
 
-def _text_key(text: Column) -> list[Column]:
-    """A text's 128-bit key (t1, t2)."""
-    return [F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2")]
-
-
 def with_simhash(df: DataFrame, shingles: str, out: str) -> DataFrame:
     """Adds the SimHash of an array of shingle hashes: bit b is set if more than half have it."""
     name, one = free_name(df, "__lanes"), F.lit(1).cast("long")
@@ -138,9 +133,9 @@ def _spans(docs: DataFrame, text_column: str, items: _Items, percent: int, broad
     """(t1, t2, spans): for each text, the windows that share enough shingles with the
     benchmark, as intervals of starts for each item length."""
     text = text_of(text_column)
-    hashed = docs.select(*_text_key(text), _word_hashes(text).alias("hs"))
+    hashed = docs.select(*text_key(text), _word_hashes(text).alias("hs"))
     spots = hashed.select("t1", "t2", F.size("hs").alias("size"), F.posexplode(F.concat(*[_shingles(F.col("hs"), k) for k in items.sizes])).alias("i", "h"))
-    met = spots.join(F.broadcast(items.offers) if items.offers.count() <= broadcast_rows else items.offers, "h")
+    met = spots.join(small_enough(items.offers, broadcast_rows), "h")
     before, place = F.lit(0), F.col("i")  # the places of one k stand after those of smaller ones
     for k in items.sizes:
         place = F.when(F.col("k") == k, F.col("i") - before).otherwise(place)
@@ -168,8 +163,8 @@ def _windows(docs: DataFrame, text_column: str, spans: DataFrame, items: _Items,
     """(t1, t2, n_words, k, start, m, content, sh) of every window of ``spans``."""
     ids = spans.select("t1", "t2")
     text = text_of(text_column)
-    texts = docs.select(*_text_key(text), text.alias("text"))
-    texts = texts.join(F.broadcast(ids) if ids.count() <= broadcast_rows else ids, ["t1", "t2"], "left_semi")
+    texts = docs.select(*text_key(text), text.alias("text"))
+    texts = texts.join(small_enough(ids, broadcast_rows), ["t1", "t2"], "left_semi")
     texts = texts.groupBy("t1", "t2").agg(F.any_value("text").alias("text")).select("t1", "t2", _word_hashes(F.col("text")).alias("hs"))
     out = texts.join(spans, ["t1", "t2"]).select("t1", "t2", "hs", F.explode("spans").alias("s")).select("t1", "t2", "hs", "s.n_words", "s.k", "s.m", F.explode("s.at").alias("at"))
     out = out.select("t1", "t2", "hs", "n_words", "k", "m", F.explode(F.sequence("at.low", "at.high")).alias("start"))
@@ -219,8 +214,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, words: int =
         return docs.sparkSession.createDataFrame([], FOUND.format(benchmark.schema[item_column].dataType.simpleString()))
     found = _found(docs, text_column, items, percent, broadcast_rows)
     named = saved(found.join(items.names.select("item_id", "item", F.col("n_words").alias("length")), ["item", "length"]).drop("item", "length").withColumnsRenamed({"t1": "u1", "t2": "u2"}))
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), *_text_key(text_of(text_column)))
-    rows = rows.join(F.broadcast(named) if named.count() <= broadcast_rows else named, (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")))
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), *text_key(text_of(text_column)))
+    rows = rows.join(small_enough(named, broadcast_rows), (F.col("t1") == F.col("u1")) & (F.col("t2") == F.col("u2")))
     return rows.select("doc_id", F.col("t1").alias("text_hash"), "item_id", F.col("start").alias("start_word"), F.col("span").alias("n_words"), "similarity").distinct()
 
 
@@ -236,6 +231,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, percent: int = 80, word
         return docs
     a, b = free_name(docs, "__t1"), free_name(docs, "__t2")
     found = saved(_found(docs, text_column, items, percent, broadcast_rows).select(F.col("t1").alias(a), F.col("t2").alias(b)).distinct())
-    found = F.broadcast(found) if found.count() <= broadcast_rows else found
-    t1, t2 = _text_key(text_of(text_column))
-    return docs.join(found, (t1 == F.col(a)) & (t2 == F.col(b)), "left_anti")
+    t1, t2 = text_key(text_of(text_column))
+    return docs.join(small_enough(found, broadcast_rows), (t1 == F.col(a)) & (t2 == F.col(b)), "left_anti")

@@ -30,6 +30,7 @@ from quern.llm.common import SPACE, free_name, saved, text_of
 CELLS_PER_ROW = 16
 PROBES = 3
 SLICE = 1 << 20  # cells in a slice
+CHUNK = 1 << 20  # rows whose cells are held at once
 
 
 def normalised(text: str = "text") -> Column:
@@ -44,12 +45,9 @@ def _cells(high: np.ndarray, low: np.ndarray, cells: int) -> np.ndarray:
 
 
 def _count_cells(cells: int):
-    """Per task and slice: the offsets set by one row, and those set by several."""
+    """Per CHUNK rows of a task and slice: the offsets set by one row, and those set by several."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [_cells(b.column(0).to_numpy(), b.column(1).to_numpy(), cells).ravel() for b in batches]
-        if not seen:
-            return
+    def packed(seen: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         cell, n = np.unique(np.concatenate(seen), return_counts=True)
         part = cell // np.uint64(SLICE)
         cuts = np.flatnonzero(np.diff(part)) + 1
@@ -61,6 +59,17 @@ def _count_cells(cells: int):
             pack = lambda x: zlib.compress(np.diff(x, prepend=np.uint32(0)).astype("<u4").tobytes(), 1)
             yield pa.RecordBatch.from_pydict({"slice": pa.array([int(part[i])], pa.int64()), "once": pa.array([pack(once)], pa.binary()), "more": pa.array([pack(more)], pa.binary())})
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, rows = [], 0
+        for b in batches:
+            seen.append(_cells(b.column(0).to_numpy(), b.column(1).to_numpy(), cells).ravel())
+            rows += b.num_rows
+            if rows >= CHUNK:
+                yield from packed(seen)
+                seen, rows = [], 0
+        if rows:
+            yield from packed(seen)
+
     return run
 
 
@@ -134,7 +143,8 @@ def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     The choice is that of ``exact_groups``; between rows alike in length and id,
     the one whose other columns hash highest stays, and of rows alike in
     everything one stays. Whole rows shuffle only where the filter asks for it,
-    after the best of each group in a task is chosen.
+    after the best of each group in a task is chosen. An empty table gives an empty
+    result; columns may have any name.
     """
     sha, high, low, order, maybe = (free_name(docs, n) for n in ("__sha", "__high", "__low", "__order", "__maybe"))
     hashed = docs.withColumn(sha, F.sha2(normalised(text_column), 256))

@@ -14,8 +14,8 @@ Scale:
 * Documents with the same set collapse first, into their smallest id, before any
   candidate is made: groups of exact copies cost one row.
 * In a bucket, members are compared with its smallest id, not with each other:
-  first within each task, then between the tasks' local centres, so that a bucket
-  of any size puts at most one row per task into the exchange.
+  first within STAR_ROWS documents of a task, then between these local centres, so
+  that a bucket of any size puts one row for so many into the exchange.
 * Members that this leaves in another component than their bucket's centre are
   compared with all members of overlapping buckets, block against block, unless
   too few of their shingles occur in any other open member. So no link between
@@ -34,12 +34,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from quern.llm.common import components, saved, text_of
+from quern.llm.common import components, free_name, saved, small_enough, text_key, text_of
 
 BANDS = 24
 BAND_PERMUTATIONS = 2
 BLOCK_ROWS = 128
 BLOCK_SHINGLES = 1 << 20
+STAR_ROWS = 1 << 16  # documents whose bands are held at once
 _RNG = np.random.Generator(np.random.PCG64(20240501))
 _A = _RNG.integers(1, 1 << 63, BANDS * BAND_PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * BAND_PERMUTATIONS, dtype=np.uint64)
@@ -107,26 +108,33 @@ def _prints(words: int):
                 h = shingle_hashes(text.as_py(), words)
                 a, b = np.frombuffer(hashlib.blake2b(h.tobytes(), digest_size=16).digest(), np.int64)
                 sizes.append(len(h)), s1.append(int(a)), s2.append(int(b)), bands.append(signature(h) if len(h) else None)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "n_shingles": pa.array(sizes, pa.int64()), "s1": pa.array(s1, pa.int64()), "s2": pa.array(s2, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "t1": batch.column(2), "t2": batch.column(3), "n_shingles": pa.array(sizes, pa.int64()), "s1": pa.array(s1, pa.int64()), "s2": pa.array(s2, pa.int64()), "bands": pa.array(bands, pa.list_(pa.int64()))})
 
     return run
 
 
 def _local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, member, centre) within a task: each bucket's members point to its smallest id here."""
-    ids, keys = [], []
+    """(band, member, centre) within STAR_ROWS documents: each bucket's members point to its smallest id here."""
+    ids, keys, held = [], [], 0
+
+    def stars() -> Iterator[pa.RecordBatch]:
+        member, band = np.concatenate(ids), np.concatenate(keys)
+        order = np.lexsort((member, band))
+        member, band = member[order], band[order]
+        first = np.r_[True, band[1:] != band[:-1]]
+        centre = member[np.flatnonzero(first)][np.cumsum(first) - 1]
+        for i in range(0, len(member), 1 << 16):
+            yield pa.RecordBatch.from_pydict({"band": band[i : i + (1 << 16)], "member": member[i : i + (1 << 16)], "centre": centre[i : i + (1 << 16)]})
+
     for batch in batches:
         ids.append(np.repeat(batch.column(0).to_numpy(), BANDS))
         keys.append(batch.column(1).flatten().to_numpy())
-    if not ids:
-        return
-    ids, keys = np.concatenate(ids), np.concatenate(keys)
-    order = np.lexsort((ids, keys))
-    ids, keys = ids[order], keys[order]
-    first = np.r_[True, keys[1:] != keys[:-1]]
-    centre = ids[np.flatnonzero(first)][np.cumsum(first) - 1]
-    for i in range(0, len(ids), 1 << 16):
-        yield pa.RecordBatch.from_pydict({"band": keys[i : i + (1 << 16)], "member": ids[i : i + (1 << 16)], "centre": centre[i : i + (1 << 16)]})
+        held += batch.num_rows
+        if held >= STAR_ROWS:
+            yield from stars()
+            ids, keys, held = [], [], 0
+    if held:
+        yield from stars()
 
 
 def _verify(words: int, percent: int):
@@ -163,8 +171,10 @@ class _Links:
         return saved(rows.mapInArrow(_verify(self.words, self.percent), "a long, b long, ok boolean"))
 
 
-    def shared_sizes(self, reps: DataFrame) -> DataFrame:
-        """(rep, u): how many of each representative's shingles another of ``reps`` has too."""
+    def own_shingles(self, reps: DataFrame) -> DataFrame:
+        """(rep, lonely): how many of each representative's shingles no other of ``reps`` has.
+
+        A shingle that all have is aggregated before the exchange to a row a task."""
         words = self.words
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,8 +183,9 @@ class _Links:
                     h = shingle_hashes(text.as_py(), words).view(np.int64)
                     yield pa.RecordBatch.from_pydict({"rep": np.full(len(h), name.as_py(), np.int64), "h": h})
 
-        rows = self.texts.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(run, "rep long, h long").distinct()
-        return rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("h"))).filter("n > 1").groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
+        rows = self.texts.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(run, "rep long, h long")
+        first = rows.groupBy("h").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
+        return first.filter("rep = last").groupBy("rep").agg(F.count(F.lit(1)).alias("lonely"))
 
     def across(self, members: DataFrame) -> DataFrame:
         """Links (a, b) between members of different labels, where ``c`` ties members of a bucket.
@@ -253,22 +264,15 @@ def _labelled(df: DataFrame, column: str, labels: DataFrame, out: str) -> DataFr
     return df.join(found, column, "left").withColumn(out, F.coalesce("__c", column)).drop("__c")
 
 
-def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row.
-
-    Documents are linked when 100 * |A and B| >= percent * |A or B|; a component
-    is named by its smallest doc_id, and that document is the one kept. Texts
-    without words (null, empty) are linked with nothing. Rows that share an id
-    are one document with either text; a row without an id is never a component's
-    name and is kept unless its set equals that of a row with an id. An empty
-    table gives an empty result; other columns are not read.
-    """
+def _judged(docs: DataFrame, words: int, percent: int, id_column: str, text_column: str) -> DataFrame:
+    """(doc_id, t1, t2, n_shingles, component_id, kept) for every row; t1 and t2 are its text's key."""
     texts = docs.select(F.col(id_column).cast("long").alias("id"), text_of(text_column).alias("text"))
-    prints = saved(texts.mapInArrow(_prints(words), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"))
+    keyed = texts.select("id", "text", *text_key(F.col("text")))
+    prints = saved(keyed.mapInArrow(_prints(words), "doc_id long, t1 long, t2 long, n_shingles long, s1 long, s2 long, bands array<long>"))
     reps = saved(prints.filter("n_shingles > 0").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("n_shingles").alias("n")).filter("rep is not null"))
 
     stars = saved(reps.select("rep", "bands").mapInArrow(_local_stars, "band long, member long, centre long"))
-    tops = stars.filter("member = centre").withColumn("top", F.min("centre").over(W.partitionBy("band")))
+    tops = stars.filter("member = centre").withColumn("top", F.min("centre").over(W.partitionBy("band")))  # a row for STAR_ROWS documents of a task at most
     edges = stars.filter("member <> centre").select("band", F.col("centre").alias("a"), F.col("member").alias("b")).unionAll(tops.filter("top <> centre").select("band", F.col("top").alias("a"), F.col("centre").alias("b")))
     edges = saved(edges)
 
@@ -285,7 +289,11 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
         members = saved(members.join(sizes, "band").drop("m"))
         # Shingles that no other open member has can't be common to a linked pair: whoever
         # has too many of them is out, and others only meet where the rest may be enough.
-        shared = saved(links.shared_sizes(saved(members.select("rep").distinct())))
+        ids = saved(members.select("rep").distinct())
+        lonely = saved(links.own_shingles(ids))
+        # Of several texts of an id all shingles count, so that none is ruled out by the other's.
+        of_id = prints.join(ids, F.col("doc_id") == F.col("rep"), "left_semi").groupBy(F.col("doc_id").alias("rep")).agg(F.sum("n_shingles").alias("total"))
+        shared = saved(of_id.join(lonely, "rep", "left").select("rep", (F.col("total") - F.coalesce("lonely", F.lit(0))).alias("u")))
         members = saved(members.join(shared, "rep").filter(F.col("u") * 100 >= F.col("n") * percent))
         now = saved(_labelled(members, "rep", labels, "label"))
         several = saved(now.groupBy("band").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.min("rep").alias("c")).filter("l <> h").select("band", "c"))
@@ -294,12 +302,32 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_colum
             labels = components(tried.filter("ok").select("a", "b").unionAll(links.across(now.select("rep", "label", "n", "c"))))
 
     named = saved(_labelled(reps.select("s1", "s2", F.col("rep")), "rep", labels, "component_id").select("s1", "s2", "component_id"))
-    out = prints.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
+    out = prints.select("doc_id", "t1", "t2", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+    return out.select("doc_id", "t1", "t2", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+
 
+def near_components(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row.
+
+    Documents are linked when 100 * |A and B| >= percent * |A or B|; a component
+    is named by its smallest doc_id, and that document is the one kept. Texts
+    without words (null, empty) are linked with nothing. Rows that share an id
+    are one document with either text; a row without an id is never a component's
+    name and is kept unless its set equals that of a row with an id. An empty
+    table gives an empty result; other columns are not read and may have any name.
+    """
+    return _judged(docs, words, percent, id_column, text_column).drop("t1", "t2")
 
-def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with one document, the smallest id, of each component; all columns kept."""
-    found = near_components(docs, words, percent, id_column, text_column).filter("not kept").select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(saved(found), F.col(id_column).cast("long") == F.col("__lost"), "left_anti")
+
+def near_dedup(docs: DataFrame, words: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``docs`` with one document, the smallest id, of each component; all columns kept.
+
+    The rows that ``near_components`` keeps: rows alike in id and text stay or go
+    together, and so do those without an id. An empty table gives an empty result;
+    columns may have any name.
+    """
+    a, b, c = (free_name(docs, n) for n in ("__lost", "__t1", "__t2"))
+    lost = saved(_judged(docs, words, percent, id_column, text_column).filter("not kept").select(F.col("doc_id").alias(a), F.col("t1").alias(b), F.col("t2").alias(c)).distinct())
+    t1, t2 = text_key(text_of(text_column))
+    return docs.join(small_enough(lost, broadcast_rows), F.col(id_column).cast("long").eqNullSafe(F.col(a)) & (t1 == F.col(b)) & (t2 == F.col(c)), "left_anti")

@@ -40,7 +40,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
-@query()
+@query(
+    r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+    s AS (SELECT doc_id, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END) AS g FROM w),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL),
+    e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+    r AS (SELECT DISTINCT a AS doc_id, a AS reach FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON r.reach = l.a),
+    m AS (SELECT doc_id, min(reach) AS component_id FROM r GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)"""
+)
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_components(table(spark, sf_dir, "documents"), words=4)
 
@@ -66,9 +77,21 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_verdicts(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES, blocked).select("page_id", "host", "path", "rule", "verdict")
 
 
-@query()
+@query(
+    r"""
+    WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM documents),
+    i AS (SELECT *, len(ws) AS n, least(5, len(ws)) AS k FROM (SELECT DISTINCT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS ws FROM benchmark) WHERE len(ws) > 0),
+    ic AS (SELECT item_id, n, k, g, count(*) AS c FROM (SELECT item_id, n, k, unnest(list_transform(range(1, n - k + 2), lambda j: array_to_string(ws[j:j + k - 1], ' '))) AS g FROM i) GROUP BY ALL),
+    dg AS (SELECT doc_id, k, len(ws) AS size, unnest(range(0, len(ws) - k + 1)) AS p, unnest(list_transform(range(1, len(ws) - k + 2), lambda j: array_to_string(ws[j:j + k - 1], ' '))) AS g FROM d, (SELECT DISTINCT k FROM i)),
+    hit AS (SELECT doc_id, size, item_id, n, k, p, g, c, least(n, size) - k + 1 AS m FROM dg JOIN ic USING (k, g)),
+    win AS (SELECT *, unnest(range(greatest(0, p - m + 1), least(p, greatest(size - n, 0)) + 1)) AS start FROM hit),
+    cnt AS (SELECT doc_id, item_id, n, k, m, start, g, least(count(*), any_value(c)) AS c FROM win GROUP BY doc_id, item_id, n, k, m, start, g),
+    sim AS (SELECT doc_id, item_id, n, k, m, start, CAST(sum(c) AS BIGINT) AS shared FROM cnt GROUP BY ALL)
+    SELECT doc_id, item_id, start AS start_word, m + k - 1 AS n_words, shared / (m + n - k + 1 - shared) AS similarity FROM sim WHERE 100 * shared >= 80 * (m + n - k + 1 - shared)
+    QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / (m + n - k + 1 - shared) DESC, start) = 1"""
+)
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 @query()
