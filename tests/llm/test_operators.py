@@ -140,15 +140,6 @@ def test_url_rules_on_odd_urls(spark):
     assert url_verdicts(pages.limit(0), queries.URL_RULES, blocked).count() == 0
 
 
-def test_cascade_is_exact_for_its_universe(spark):
-    from quern.llm.url_filter import Cascade
-
-    universe = spark.range(20_000).select(F.concat(F.lit("h"), "id").alias("key"))
-    cascade = Cascade(universe.filter(F.crc32(F.col("key").cast("binary")) % 7 == 0), universe)
-    assert len(cascade.levels) > 1
-    assert universe.filter(cascade.has(F.col("key")) != (F.crc32(F.col("key").cast("binary")) % 7 == 0)).count() == 0
-
-
 def test_classifiers(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     for score, column, least in ((score_quality, "quality", 0.85), (score_toxicity, "toxic", 0.85)):
