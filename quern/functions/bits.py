@@ -20,3 +20,8 @@ def round_up_pow2(c: Column) -> Column:
     c = c.cast("long")
     digits = F.length(F.bin(c - F.lit(1))).cast("int")
     return F.when(c.isNull(), F.lit(None)).when(c <= 1, F.lit(1).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), digits))
+
+
+def minimum(a: Column, b: Column) -> Column:
+    """The smaller value; null if either is, as a comparison has it."""
+    return F.when(a.isNotNull() & b.isNotNull(), F.least(a, b))

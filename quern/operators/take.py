@@ -2,9 +2,9 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from quern.plans.ranks import dense_positions
+from quern.types import free_name
 
 
 def positions(df: DataFrame, order: str, out: str = "pos") -> DataFrame:
@@ -13,14 +13,14 @@ def positions(df: DataFrame, order: str, out: str = "pos") -> DataFrame:
 
 
 def _gather(indices: DataFrame, data: DataFrame, on: list[str], index: str, pos: str) -> DataFrame:
-    right = data.withColumnRenamed(pos, "__pos").withColumnsRenamed({c: f"__{c}" for c in on})
-    taken = [c for c in right.columns if c != "__pos" and c not in {f"__{x}" for x in on}]
+    taken = [c for c in data.columns if c not in (pos, *on)]
     if both := set(taken) & set(indices.columns):
         raise ValueError(f"both sides have {sorted(both)}")
-    cond = F.col(index) == F.col("__pos")
+    own = {c: free_name(f"__{c}", indices, data) for c in [pos, *on]}
+    cond = F.col(index) == F.col(own[pos])
     for c in on:
-        cond &= F.col(c) == F.col(f"__{c}")
-    return indices.join(right, cond, "inner").select(*indices.columns, *taken)
+        cond &= F.col(c) == F.col(own[c])
+    return indices.join(data.withColumnsRenamed(own), cond, "inner").select(*indices.columns, *taken)
 
 
 def take(indices: DataFrame, data: DataFrame, index: str = "i", pos: str = "pos") -> DataFrame:
@@ -38,4 +38,5 @@ def take_batched(indices: DataFrame, data: DataFrame, index: str = "i", pos: str
 
 
 def batch_positions(df: DataFrame, order: str, batch: str = "batch_id", out: str = "pos") -> DataFrame:
-    return df.withColumn(out, F.row_number().over(W.partitionBy(batch).orderBy(order)).cast("long") - 1)
+    """0-based positions by ``order`` within each batch."""
+    return dense_positions(df, order, out, by=[batch])

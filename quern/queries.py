@@ -5,10 +5,12 @@ from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from quern import operators as op
-from quern.functions import round_up_multiple, round_up_pow2, with_wang32
-from quern.sources import dense_index, fk_batch_local, table
+from quern.functions import minimum, round_up_multiple, round_up_pow2, with_wang32
+from quern.sources import benchmark_rows, dense_index, fk_batch_local, random_relation, table
+from quern.types import checked_u32
 
 M = 0xFFFFFFFF
 BATCH = 1024
@@ -100,8 +102,23 @@ def sum_u64_wrapping(spark, d):
 
 @query(f"SELECT CAST(sum(v) AS BIGINT) AS sum_v, count(v) AS count_v, min(v) AS min_v, max(v) AS max_v, CAST(sum(v) AS DOUBLE) / count(v) AS avg_v FROM {EV}")
 def scalar_aggs(spark, d):
-    ev = u32_events(spark, d)
-    return ev.agg(*[getattr(F, f)("v").alias(f"{f}_v") for f in ("sum", "count", "min", "max", "avg")])
+    fns = ["sum", "count", "min", "max", "avg"]
+    return op.scalar_aggs(u32_events(spark, d), fns, "v", [f"{f}_v" for f in fns])
+
+
+@query(f"SELECT CAST(sum(CAST(v AS HUGEINT)) % 18446744073709551616 AS DECIMAL(20,0)) AS sum_v FROM {EV}")
+def sum_u64(spark, d):
+    return op.sum_u32(u32_events(spark, d), "v", "sum_v")
+
+
+@query(f"SELECT event_id, v FROM {EV}")
+def u32_domain(spark, d):
+    return checked_u32(u32_events(spark, d), "v").select("event_id", "v")
+
+
+@query(f"SELECT event_id, least(v, event_id * 400000) AS low FROM {EV}")
+def minimum_of_two(spark, d):
+    return u32_events(spark, d).select("event_id", minimum(F.col("v"), F.col("event_id") * 400_000).alias("low"))
 
 
 def _orders(spark, d):
@@ -129,7 +146,27 @@ def join_partition_wise(spark, d):
 
 @query(JOIN)
 def join_radix(spark, d):
-    return op.radix_join(_lines(spark, d), _orders(spark, d), "l_orderkey", "o_orderkey", 32)
+    return op.radix_join(_lines(spark, d), _orders(spark, d), "l_orderkey", "o_orderkey")
+
+
+@query("SELECT l_orderkey // 8000 AS group_id, l_orderkey, l_partkey, p_size FROM lineitem JOIN part ON l_partkey = p_partkey AND l_orderkey // 8000 = p_partkey // 2000 WHERE l_orderkey // 8000 < (SELECT (max(p_partkey) // 500 + 1) // 4 FROM part)")
+def join_by_partition_size(spark, d):
+    left = table(spark, d, "lineitem").select((F.col("l_orderkey") / 2000).cast("long").alias("batch_id"), "l_orderkey", "l_partkey")
+    right = table(spark, d, "part").select((F.col("p_partkey") / 500).cast("long").alias("batch_id"), "p_partkey", "p_size")
+    batches = right.agg(F.max("batch_id")).first()[0] + 1
+    return op.join_by_batches(left, right, "l_partkey", "p_partkey", 4, batches)
+
+
+@query("SELECT l_orderkey // 8000 AS group_id, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey AND l_orderkey // 8000 = p_partkey // 2000 GROUP BY ALL")
+def join_counts_by_group(spark, d):
+    left = table(spark, d, "lineitem").select((F.col("l_orderkey") / 2000).cast("long").alias("batch_id"), "l_partkey")
+    right = table(spark, d, "part").select((F.col("p_partkey") / 500).cast("long").alias("batch_id"), "p_partkey")
+    return op.join_by_batches(left, right, "l_partkey", "p_partkey", 4).groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT CAST(0 AS BIGINT) AS n")
+def join_noop(spark, d):
+    return op.count_rows(op.noop_join(_lines(spark, d), _orders(spark, d), "l_orderkey", "o_orderkey"))
 
 
 @query("SELECT o_orderkey, o_custkey, o_orderpriority, l_partkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey")
@@ -160,6 +197,17 @@ def hash_probe(spark, d):
     return op.hash_probe(table(spark, d, "events").select("event_id", "user_id"), built, "user_id")
 
 
+@query("SELECT l_orderkey, l_linenumber, o_custkey AS idx FROM lineitem JOIN orders ON l_orderkey = o_orderkey")
+def hash_probe_strict(spark, d):
+    built = op.hash_build(_orders(spark, d), "o_orderkey", "o_custkey")
+    return op.hash_probe(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber"), built, "l_orderkey", strict=True)
+
+
+@query("SELECT CAST(sum(n) AS BIGINT) AS build_rows, count(*) AS build_keys, max(n) AS longest_chain FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)")
+def join_hash_stats(spark, d):
+    return op.hash_stats(_lines(spark, d), "l_orderkey")
+
+
 OH = staged("o_orderkey", "orders", "o_orderkey, o_custkey")
 
 
@@ -173,6 +221,17 @@ def partition_mod(spark, d):
     return op.partition_by(_orders(spark, d).select("o_orderkey", "o_custkey"), "o_orderkey", 10, radix=False)
 
 
+@query("SELECT o_orderkey, ((o_orderkey * 65536) & 4294967295) >> 27 AS part_id FROM orders")
+def partition_identity(spark, d):
+    o = _orders(spark, d).select("o_orderkey", (F.col("o_orderkey") * 65536).alias("k"))
+    return op.partition_by(o, "k", 32, mix=False).drop("k")
+
+
+@query(f"SELECT o_orderkey, o_custkey FROM {OH} WHERE h >> 29 = 5")
+def partition_one_bucket(spark, d):
+    return op.all_buckets(op.partition_by(_orders(spark, d).select("o_orderkey", "o_custkey"), "o_orderkey", 8), 8)[5].drop("part_id")
+
+
 @query(f"SELECT batch_id, part_id, n, CAST(sum(n) OVER (PARTITION BY batch_id ORDER BY part_id) AS BIGINT) AS end_offset FROM (SELECT o_orderkey // 1024 AS batch_id, h >> 28 AS part_id, count(*) AS n FROM {OH} GROUP BY ALL)")
 def partition_histogram(spark, d):
     o = _orders(spark, d).select("o_orderkey", (F.col("o_orderkey") / 1024).cast("long").alias("batch_id"))
@@ -209,6 +268,11 @@ def take_batched(spark, d):
     return op.take_batched(idx, data)
 
 
+@query("SELECT o_custkey % 7 AS batch_id, o_orderkey, row_number() OVER (PARTITION BY o_custkey % 7 ORDER BY o_orderkey) - 1 AS pos FROM orders")
+def take_batch_positions(spark, d):
+    return op.batch_positions(_orders(spark, d).select((F.col("o_custkey") % 7).alias("batch_id"), "o_orderkey"), "o_orderkey")
+
+
 @query("SELECT k, h FROM " + staged("event_id", "(SELECT event_id, event_id AS k FROM events)", "k"))
 def wang_hash(spark, d):
     return with_wang32(table(spark, d, "events").select(F.col("event_id").alias("k")), "k")
@@ -266,5 +330,29 @@ def round_up(spark, d):
     return table(spark, d, "orders").select(k, round_up_multiple(k).alias("up8"), round_up_pow2(k).alias("pow2"))
 
 
+@query(
+    """
+    SELECT 'BM_Join/' || n_name || '/SF:' || n_regionkey AS name, n_name AS operator, CAST(n_regionkey AS VARCHAR) AS "SF", CASE WHEN n_nationkey % 5 = 3 THEN 0.0 ELSE n_nationkey + 0.5 END AS real_time, CASE WHEN n_nationkey % 2 = 0 THEN CAST(n_nationkey AS DOUBLE) END AS cycles
+    FROM nation WHERE n_nationkey % 4 <> 1"""
+)
+def results_etl(spark, d):
+    """Reports made of nations, one a region, some with errors, NaN or counters that others lack, and one that is no JSON."""
+    key = F.col("n_nationkey")
+    fields = [F.lit('{"name": "BM_Join/'), F.col("n_name"), F.lit("/SF:"), F.col("n_regionkey"), F.lit('", "real_time": '), F.when(key % 5 == 3, F.lit("NaN")).otherwise(F.concat(key.cast("string"), F.lit(".5"))), F.when(key % 2 == 0, F.concat(F.lit(', "cycles": '), key)).otherwise(F.lit("")), F.when(key % 4 == 1, F.lit(', "error_occurred": true}')).otherwise(F.lit("}"))]
+    reports = table(spark, d, "nation").groupBy("n_regionkey").agg(F.collect_list(F.concat(*[f.cast("string") for f in fields])).alias("b"))
+    reports = reports.select(F.concat(F.lit('{"context": {}, "benchmarks": ['), F.array_join("b", ", "), F.lit("]}")).alias("value"))
+    return benchmark_rows(reports.unionAll(spark.createDataFrame([("no report",), (None,)], "value string")))
+
+
+RANDOM = StructType([StructField("v", LongType(), False, {"min": 0, "max": 9}), StructField("s", StringType(), True, {"null_probability": 0.5}), StructField("d", StringType(), False, {"values": ["red", "green", "blue"]}), StructField("t", LongType(), False, {"time": 1000})])
+
+
+@query("SELECT CAST(8000 AS BIGINT) AS rows, CAST(8 AS BIGINT) AS batches, CAST(10 AS BIGINT) AS values, CAST(3 AS BIGINT) AS words, true AS in_range, true AS some_null")
+def random_columns(spark, d):
+    """What holds for any seed: the values themselves are no engine's but ours."""
+    df = random_relation(spark, RANDOM, 8, 1000)
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("batch_id").alias("batches"), F.countDistinct("v").alias("values"), F.countDistinct("d").alias("words"), F.min(F.col("v").between(0, 9) & F.col("t").between(0, 86_399_999)).alias("in_range"), (F.count("s").between(3600, 4400)).alias("some_null"))
+
+
 def flagship(spark: SparkSession, d: str) -> DataFrame:
     return join_inner_fk_pk(spark, d)

@@ -1,14 +1,22 @@
 """Literal fixtures and edge cases: empty input, ragged batches, nulls, one partition, unsigned values."""
 
+import shutil
+import subprocess
+import sys
+from decimal import Decimal
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType, LongType, StringType, DoubleType, BooleanType, ArrayType, DateType, DecimalType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DateType, DayTimeIntervalType, DecimalType, DoubleType, LongType, StringType, StructField, StructType, YearMonthIntervalType
 
 from quern import operators as op
-from quern.functions import round_up_multiple, round_up_pow2, wang32
-from quern.sources import dense_index, literal, random_relation, random_u32, read_benchmark_json, write_csv
+from quern import queries as catalogue
+from quern.functions import minimum, round_up_multiple, round_up_pow2, wang32
+from quern.plans import dense_positions
+from quern.sources import dense_index, join_sides, literal, random_relation, random_u32, read_benchmark_json, run_line, take_indices, write_csv
 from quern.streaming import batch_stream, streaming_filter, streaming_sum
-from quern.types import u32, u32_schema
+from quern.types import checked_u32, u32, u32_schema
 
 V = u32_schema("v", nullable=True)
 LEFT = ([0, 2, 3, 8, 9, 10, 12, 13, 18, 19], [0] * 5 + [1] * 5)
@@ -96,13 +104,15 @@ def test_join_bag_nulls_and_misses(spark):
 
 
 def test_radix_join_plan_has_one_exchange_a_side(spark):
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.enabled", "false"), spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         left, right = spark.range(1000).select(F.col("id").alias("fk")), spark.range(1000).select(F.col("id").alias("pk"), (F.col("id") * 2).alias("x"))
-        plan = op.radix_join(left, right, n=8)._jdf.queryExecution().executedPlan().toString()
+        plans = [op.radix_join(left, right, n=8, hint=h)._jdf.queryExecution().executedPlan().toString() for h in (None, "shuffle_hash")]
     finally:
-        spark.conf.set("spark.sql.adaptive.enabled", "true")
-    assert plan.count("Exchange") == 2 and "ShuffledHashJoin" in plan
+        spark.conf.set("spark.sql.adaptive.enabled", "true"), spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert all(p.count("Exchange") == 2 for p in plans) and "ShuffledHashJoin" in plans[1]
+    assert op.radix_join(left, right).count() == 1000  # as many buckets as shuffle partitions
 
 
 def test_hash_values_and_buckets(spark):
@@ -163,9 +173,15 @@ def test_benchmark_reports(spark, tmp_path):
     src.mkdir()
     (src / "a.json").write_text('{"benchmarks": [{"name": "BM/join/SF:4/x", "real_time": 1.5}, {"name": "BM/take/SF:1", "real_time": NaN}, {"name": "BM/sum", "error_occurred": true}]}')
     (src / "b.json").write_text("not json")
+    (src / "c.json").write_text('{"benchmarks": [{"name": "BM/aggr/real_time:7", "real_time": 2, "label": "x"}, {"name": "BM/more/a:1/a:2", "operator": "old", "error_occurred": false}]}')
+    df = read_benchmark_json(spark, str(src))
+    assert df.columns == sorted(["name", "operator", "SF", "a", "label", "real_time"])
+    got = {r.operator: (r.SF, r.real_time, r.label, r.a) for r in df.collect()}
+    assert got == {"join": ("4", "1.5", None, None), "take": ("1", "NaN", None, None), "aggr": (None, "7", "x", None), "more": (None, None, None, "2")}
+    (src / "c.json").unlink()
     df = read_benchmark_json(spark, str(src))
-    got = {r.operator: (r.SF, r.real_time) for r in df.collect()}
-    assert got == {"join": ("4", 1.5), "take": ("1", 0.0)}
+    assert {r.operator: (r.SF, r.real_time) for r in df.collect()} == {"join": ("4", 1.5), "take": ("1", 0.0)}
+    assert read_benchmark_json(spark, str(src)).filter("false").count() == 0
     write_csv(df, str(tmp_path / "out"))
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 2
 
@@ -179,3 +195,132 @@ def test_streams_agree_with_the_batch(spark, tmp_path):
         q.awaitTermination(120)
     assert spark.table("kept").count() == op.filter_lt(batch).count()
     assert spark.table("total").first()[0] == op.scalar_agg(batch).first()[0]
+
+
+def test_sums_beyond_63_bits(spark):
+    df = literal(spark, V, [0xFFFFFFFF] * 5 + [None])
+    assert int(op.sum_u32(df).first()[0]) == 5 * 0xFFFFFFFF and op.sum_u32(df.limit(0)).first()[0] is None
+    # Partial sums whose total is beyond 64 bits.
+    big = spark.range(0, 7, 1, 7).select(F.lit(1 << 62).alias("v"))  # a row a task
+    assert int(op.sum_u32(big).first()[0]) == 7 * (1 << 62) % (1 << 64)
+    most = literal(spark, "v decimal(20,0)", [Decimal((1 << 64) - 1)] * 9)
+    assert int(op.sum_wrapping(most).first()[0]) == 9 * ((1 << 64) - 1) % (1 << 64)
+
+
+def test_domain_check(spark):
+    assert checked_u32(literal(spark, V, [0, 0xFFFFFFFF, None]), "v").count() == 3
+    for bad in (-1, 1 << 32):
+        with pytest.raises(Exception, match="no uint32"):
+            checked_u32(literal(spark, V, [1, bad]), "v").collect()
+
+
+def test_positions_over_many_ranges(spark):
+    """Skewed values, strings, nulls and longs far apart, in ranges of 50 rows."""
+    far = [0, 1, 2, -(1 << 63), (1 << 63) - 1, 1 << 62]
+    rows = [(i, [far[i % 6], 7, 7, 7, i][i % 5], None if i % 9 == 0 else f"k{i % 40:02d}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, v long, s string").repartition(8)
+    for order in ("v", "s", "id"):
+        got = dense_positions(df, order, "pos", rows_per_range=50).collect()
+        assert sorted(r.pos for r in got) == list(range(3000))
+        ranked = [r[order] for r in sorted(got, key=lambda r: r.pos)]
+        assert ranked == sorted(ranked, key=lambda x: (x is not None, x))
+    parts = df.withColumn("part", F.pmod("id", F.lit(3)))
+    got = dense_positions(parts, "v", "pos", by=["part"], rows_per_range=50).collect()
+    for p in range(3):
+        mine = sorted((r for r in got if r.part == p), key=lambda r: r.pos)
+        assert [r.pos for r in mine] == list(range(1000)) and [r.v for r in mine] == sorted(r.v for r in mine)
+
+
+def test_a_heavy_value_is_split(spark):
+    df = spark.range(4000).select(F.lit(5).alias("v"), "id")
+    cut = dense_positions(df, "v", "pos", rows_per_range=100)
+    tasks = cut.groupBy(F.spark_partition_id()).count().collect()
+    assert sorted(r.pos for r in cut.collect()) == list(range(4000)) and max(r["count"] for r in tasks) < 2000
+
+
+def test_positions_with_clashing_names(spark):
+    df = spark.createDataFrame([(3, 1, 2), (1, 1, 2), (2, 1, 2)], "v long, __range long, __n long")
+    assert sorted((r.pos, r.v) for r in op.positions(df, "v").collect()) == [(0, 1), (1, 2), (2, 3)]
+    assert op.positions(df, "v").columns == ["v", "__range", "__n", "pos"]
+    assert sorted((r.batch_id, r.pos) for r in op.batch_positions(df.withColumn("batch_id", F.col("v") % 2), "v").collect()) == [(0, 0), (1, 0), (1, 1)]
+
+
+def test_joins_by_groups_of_batches(spark):
+    left, right = sides(spark)
+    assert op.join_by_batches(left, right, factor=2).count() == 10
+    assert op.join_by_batches(left, right, factor=1).count() == 8
+    assert op.join_by_batches(left, right, factor=2, batches=1).count() == 0
+    assert op.join_by_batches(left, right, factor=2).columns == ["fk", "v_l", "group_id", "v_r"]
+    with pytest.raises(ValueError):
+        op.join_by_batches(left, right, factor=0)
+    assert op.noop_join(left, right).columns == op.inner_join(left, right).columns and op.noop_join(left, right).count() == 0
+
+
+def test_strict_probe_and_stats(spark):
+    built = literal(spark, "k long, idx long", [1, 2], [10, 20])
+    probe = literal(spark, "key long, __k long", [1, 2, 2], [0, 0, 0])
+    assert sorted(r.idx for r in op.hash_probe(probe, built, "key", strict=True).collect()) == [10, 20, 20]
+    lost = literal(spark, "key long", [1, 3])
+    assert op.hash_probe(lost, built, "key").count() == 1
+    with pytest.raises(Exception, match="no match for key 3"):
+        op.hash_probe(lost, built, "key", strict=True).collect()
+    assert tuple(op.hash_stats(probe, "key").first()) == (3, 2, 2) and tuple(op.hash_stats(probe.limit(0), "key").first()) == (0, 0, 0)
+
+
+def test_joins_with_clashing_names(spark):
+    left = literal(spark, "fk long, __pk long, batch_id long", [1, 2], [5, 6], [0, 0])
+    right = literal(spark, "pk long, __pk long, batch_id long", [1, 3], [7, 8], [0, 0])
+    assert [tuple(r) for r in op.partition_wise_join(left, right).collect()] == [(1, 5, 0, 7)]
+    assert [tuple(r) for r in op.radix_join(left.drop("batch_id"), right.drop("batch_id"), n=2).collect()] == [(1, 5, 7)]
+
+
+def test_buckets_as_relations(spark):
+    df = literal(spark, "pk long", range(100))
+    parts = op.all_buckets(op.partition_by(df, "pk", 8), 8)
+    assert len(parts) == 8 and sum(p.count() for p in parts) == 100
+    assert op.one_bucket(op.partition_by(df, "pk", 8), 9).count() == 0
+    assert {r.part_id for r in op.partition_by(df, "pk", 8, mix=False).collect()} == {0}  # their own top bits
+
+
+def test_types_that_spark_lacks(spark):
+    schema = StructType([
+        StructField("d", StringType(), False, {"values": ["a", "b"]}), StructField("t", LongType(), False, {"time": 1_000_000}), StructField("f", BinaryType(), False, {"byte_width": 40}), StructField("l", ArrayType(LongType()), False, {"list_size": 3}),
+        StructField("u", StructType([StructField("tag", LongType()), StructField("x", LongType()), StructField("y", StringType(), True, {"min_length": 1})]), False, {"union": True}), StructField("i", DayTimeIntervalType(), False), StructField("m", YearMonthIntervalType(), False),
+    ])
+    rows = random_relation(spark, schema, 2, 50).select("d", "t", "f", "l", "u", "i", F.col("m").cast("string").alias("m")).collect()
+    assert {r.d for r in rows} == {"a", "b"} and all(0 <= r.t < 86_400_000_000 and len(r.f) == 40 and len(r.l) == 3 and r.i.days < 1001 and r.m for r in rows)
+    assert {(r.u.tag, r.u.x is None, r.u.y is None) for r in rows} == {(0, False, True), (1, True, False)} and len({bytes(r.f) for r in rows}) == 100
+
+
+def test_generators(spark):
+    idx = take_indices(spark, 3, 20, 100).collect()
+    assert len(idx) == 60 and {r.batch_id for r in idx} == {0, 1, 2} and all(0 <= r.i < 100 for r in idx)
+    left, right = join_sides(spark, 4, 50)
+    assert op.inner_join(left.drop("batch_id"), right.drop("batch_id")).count() == 200 and left.filter("fk div 50 <> batch_id or x > 65535").count() == 0
+    assert dense_index(spark, 4, 50, parallel=False).rdd.getNumPartitions() == 1
+
+
+def test_run_line(spark, tmp_path):
+    line = run_line(spark, lambda: dense_index(spark, 2, 10), 1, 2, 10)
+    assert line.columns == "SF,Batches,Batch-Size,Results,Real-Time(ms),CPU-Time(ms),Memory(KiB)".split(",") and tuple(line.first())[:4] == (1, 2, 10, 20)
+    write_csv(line, str(tmp_path / "line"))
+
+
+def test_minimum(spark):
+    df = literal(spark, "a long, b long", [1, 5, None], [2, 3, 4])
+    assert [r[0] for r in df.select(minimum(F.col("a"), F.col("b"))).collect()] == [1, 3, None]
+
+
+def test_entry_without_the_subpackage(tmp_path):
+    """A copy without the training-data operators imports; a fault inside them is not hidden."""
+    root = Path(__file__).resolve().parent.parent
+    for name in ("whole", "without", "broken"):
+        shutil.copytree(root / "quern", tmp_path / name / "quern", ignore=shutil.ignore_patterns("__pycache__", *(["llm"] if name == "without" else [])))
+        shutil.copy(root / "__spark_entry__.py", tmp_path / name)
+    names = lambda d: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path / d, capture_output=True, text=True)
+    assert int(names("without").stdout) == len(catalogue.QUERIES) and names("without").returncode == 0
+    if (root / "corpus_pipeline.py").exists() and (root / "quern/llm").exists():
+        for d in ("whole", "broken"):
+            shutil.copy(root / "corpus_pipeline.py", tmp_path / d)
+        (tmp_path / "broken/quern/llm/queries.py").write_text("import no_such_module_anywhere\n")
+        assert int(names("whole").stdout) == len(catalogue.QUERIES) + 11 and names("broken").returncode != 0
