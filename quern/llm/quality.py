@@ -31,6 +31,7 @@ EMBED, FILTERS, TOPICS = 8, 24, 16
 PER_BLOCK = BLOCK // STRIDE
 PIECE = 5000 * BLOCK
 GROUP = 1 << 19  # bytes that are worked on at once
+BATCH, STEPS = 64, 380  # rows a training step, and the least number of steps
 
 
 def _pieces(text: str) -> list[bytes]:
@@ -113,10 +114,11 @@ class QualityModel:
 
     def _train(self, texts: list[str], y: np.ndarray, epochs: int, rate: float, rng: np.random.Generator) -> None:
         m, v, step = {k: np.zeros_like(x) for k, x in self.p.items()}, {k: np.zeros_like(x) for k, x in self.p.items()}, 0
+        epochs = max(epochs, -(-STEPS // -(-len(y) // BATCH)))  # small samples are seen more often
         for epoch in range(epochs):
             order = rng.permutation(len(y))
-            for i in range(0, len(y), 64):
-                pick = order[i : i + 64]
+            for i in range(0, len(y), BATCH):
+                pick = order[i : i + BATCH]
                 g = self._gradients([texts[k] for k in pick], y[pick])
                 step += 1
                 lr = rate * (1 - 0.8 * epoch / epochs)

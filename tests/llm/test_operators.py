@@ -17,9 +17,12 @@ from quern.llm.exact_dedup import exact_dedup, exact_groups
 from quern.llm.license_scan import scan_licenses
 from quern.llm.minhash_dedup import near_components, near_dedup
 from quern.llm.packing import pack
-from quern.llm.quality import keep_quality, score_quality
+from quern.llm.quality import QualityModel, keep_quality, score_quality
+from quern.llm.sample import labelled_sample
 from quern.llm.toxicity import score_toxicity
 from quern.llm.url_filter import url_verdicts
+from tests.llm.test_decontamination import brute
+from tests.llm.test_quality import plain
 from tests.oracle import assert_same
 
 SF, SMALL = "/root/testdata/sf0.01", "/root/testdata/sf0.001"
@@ -59,7 +62,7 @@ def test_exact_groups_on_odd_rows(spark):
 
 
 def test_exact_dedup_keeps_one_of_each(spark):
-    df = odd(spark)
+    df = odd(spark).withColumn("__sha", F.lit("x")).withColumn("__ORDER", F.lit(1)).withColumn("high", F.lit(2))
     kept = exact_dedup(df)
     assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 4, 5, 6, 7, 8]
     docs = documents(spark)
@@ -302,7 +305,12 @@ def test_stray_quotes_in_tags():
 
 
 def test_pipeline_stages(spark, tmp_path):
-    """Each stage on what the one before it kept, against the plain version of its decision."""
+    """Each stage on what the one before it kept, against a plain version of its decision
+    that shares no code with it but the classifier's training and the hash functions."""
+    from tokenizers import Tokenizer as Reference
+
+    import public_tokenizers
+
     docs = documents(spark)
     columns = docs.columns
     left = {}
@@ -314,14 +322,22 @@ def test_pipeline_stages(spark, tmp_path):
         if k < len(corpus_pipeline.STAGES) - 1:
             assert sorted(docs.columns) == sorted(columns) and docs.join(before, "doc_id", "left_anti").count() == 0
     before, after = left["quality"]
-    want = {r.doc_id for r in score_quality(before, spark.read.parquet(f"{SMALL}/labels.parquet")).filter("predicted = 1").collect()}
-    assert {r.doc_id for r in after.collect()} == want
+    model = QualityModel(*labelled_sample(before, spark.read.parquet(f"{SMALL}/labels.parquet"), "quality", 1200))
+    scores = {r.doc_id: plain(model, r.text or "") for r in before.collect()}
+    kept = {r.doc_id for r in after.collect()}
+    assert all((i in kept) == (p >= 0.3) for i, p in scores.items() if abs(p - 0.3) > 1e-4) and 0 < len(kept) < len(scores)
     before, after = left["exact_dedup"]
     assert after.count() == len({re.sub(r"[\x20\x09-\x0D]", "", r.text) for r in before.collect()})
     before, after = left["near_dedup"]
     assert {r.doc_id for r in after.collect()} == {c for _, c in brute_components([(r.doc_id, r.text) for r in before.collect()], 5).values()} | {r.doc_id for r in before.collect() if not r.text.split()}
     before, after = left["decontamination"]
-    assert before.count() - after.count() == leaks(before, spark.read.parquet(f"{SMALL}/benchmark.parquet")).select("doc_id").distinct().count()
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    rows = [(r.doc_id, r.text) for r in before.collect()]
+    assert {r.doc_id for r in after.collect()} == {i for i, _ in rows} - {i for i, _ in brute(rows, items)}
     before, after = left["packing"]
-    assert {r.doc_id for r in after.collect()} == {r.doc_id for r in before.collect()}
+    pieces = defaultdict(list)
+    for r in after.collect():
+        pieces[r.doc_id].append((r.start, r.ids))
+    ref = Reference.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert {i: [x for _, ids in sorted(p) for x in ids] for i, p in pieces.items()} == {r.doc_id: [*ref.encode(r.text, add_special_tokens=False).ids, 0] for r in before.collect()}
     assert Counter((r.doc_id, r.ids_crc32) for r in corpus_pipeline.run(spark, SMALL).collect()) == Counter((r.doc_id, r.ids_crc32) for r in after.collect())
