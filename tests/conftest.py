@@ -1,8 +1,13 @@
+import os
 import sys
 from pathlib import Path
 
 import pytest
 
+# Eight tasks at once: a thread each is enough. Set before numpy is loaded.
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 
