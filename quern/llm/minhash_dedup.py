@@ -41,6 +41,7 @@ BAND_PERMUTATIONS = 2
 BLOCK_ROWS = 128
 BLOCK_SHINGLES = 1 << 20
 STAR_ROWS = 1 << 16  # documents whose bands are held at once
+BROADCAST_ROWS = 1_000_000  # ids, 8 bytes each
 _RNG = np.random.Generator(np.random.PCG64(20240501))
 _A = _RNG.integers(1, 1 << 63, BANDS * BAND_PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, BANDS * BAND_PERMUTATIONS, dtype=np.uint64)
@@ -160,12 +161,15 @@ class _Links:
     def __init__(self, texts: DataFrame, words: int, percent: int):
         self.texts, self.words, self.percent = texts, words, percent
 
+    def of(self, ids: DataFrame) -> DataFrame:
+        """The texts of ``ids``: only those move, unless the ids are too many to be broadcast."""
+        return self.texts.join(small_enough(saved(ids.distinct()), BROADCAST_ROWS), "id", "left_semi")
+
     def compare(self, pairs: DataFrame) -> DataFrame:
         """(a, b, ok) for pairs (a, b). Texts meet through exchanges, so a centre with
         many members is split, not gathered."""
         pairs = saved(pairs)
-        used = saved(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-        texts = self.texts.join(used, "id", "left_semi")
+        texts = self.of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
         left, right = texts.select(F.col("id").alias("a"), F.col("text").alias("x")), texts.select(F.col("id").alias("b"), F.col("text").alias("y"))
         rows = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y")
         return saved(rows.mapInArrow(_verify(self.words, self.percent), "a long, b long, ok boolean"))
@@ -183,7 +187,7 @@ class _Links:
                     h = shingle_hashes(text.as_py(), words).view(np.int64)
                     yield pa.RecordBatch.from_pydict({"rep": np.full(len(h), name.as_py(), np.int64), "h": h})
 
-        rows = self.texts.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(run, "rep long, h long")
+        rows = self.of(reps.select(F.col("rep").alias("id"))).mapInArrow(run, "rep long, h long")
         first = rows.groupBy("h").agg(F.min("rep").alias("rep"), F.max("rep").alias("last"))
         return first.filter("rep = last").groupBy("rep").agg(F.count(F.lit(1)).alias("lonely"))
 
@@ -210,8 +214,7 @@ class _Links:
         rows = rows.select("family", "rep", "label", "bm", "bs", own.alias("own"))
         met = F.when(F.col("own") >= 0, F.sequence(-F.col("bm"), F.col("bs") - 1)).otherwise(F.sequence(F.lit(0), F.col("bs") - 1))
         rows = saved(rows.select("family", "rep", "label", "own", F.explode(met).alias("other")).select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "label", "own"))
-        used = saved(rows.select(F.col("rep").alias("id")).distinct())
-        texts = saved(self.texts.join(used, "id", "left_semi"))
+        texts = saved(self.of(rows.select(F.col("rep").alias("id"))))
         dealt = rows.join(texts, F.col("rep") == F.col("id")).select("family", "i", "j", "rep", "label", "own", "text")
         return saved(dealt.groupBy("family", "i", "j").applyInPandas(_block_links(self.words, self.percent), "a long, b long").distinct())
 

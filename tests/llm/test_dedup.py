@@ -31,7 +31,7 @@ def test_small_chunks_change_nothing(spark, monkeypatch):
     docs = docs.unionAll(docs.withColumn("doc_id", F.col("doc_id") + 500)).coalesce(2)
     want = brute_components([(r.doc_id, r.text) for r in docs.collect()], 4)
     groups = {(r.doc_id, r.keep_id, r.group_size) for r in exact_groups(docs).collect()}
-    monkeypatch.setattr(minhash_dedup, "STAR_ROWS", 50), monkeypatch.setattr(exact_dedup, "CHUNK", 40)
+    monkeypatch.setattr(minhash_dedup, "BROADCAST_ROWS", 0), monkeypatch.setattr(minhash_dedup, "STAR_ROWS", 50), monkeypatch.setattr(exact_dedup, "CHUNK", 40)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "30")
     try:
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_components(docs, words=4).collect()} == want
